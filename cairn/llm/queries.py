@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, media, packing, quality, simhash, substring, tokens, warc
+from . import decontaminate, lines, media, packing, pii, quality, simhash, substring, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(_table(spark, sf_dir, "pages"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii(_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_simhash, op3_substring_dedup, op4_decontaminate, op5_warc, op7_packing, op8_token_files, op9_line_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_media, op2_simhash, op3_substring_dedup, op4_decontaminate, op5_warc, op6_pii, op7_packing, op8_token_files, op9_line_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
