@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 WINDOW, BROADCAST_WINDOWS = 13, 200_000
-#: What stands between words, in a text whose A-Z are not yet lower case.
-BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words, in a text whose A-Z are not yet lower case. Listed one by one: Java tests a listed character by one lookup.
+BETWEEN = "[" + "".join(f"\\x{c:02X}" for c in range(0x80) if not chr(c).isalnum()) + "]+"
 
 
 def lower_ascii(c: Column) -> Column:
@@ -36,23 +36,27 @@ def lower_ascii(c: Column) -> Column:
 
 
 def with_words(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds `words`, as written; split() leaves an empty string before a leading and after a last separator."""
-    df = df.withColumn("__raw", F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), BETWEEN, -1))
-    head, tail = (F.col("__raw")[0] == "").cast("int"), (F.element_at("__raw", -1) == "").cast("int")
-    return df.withColumn("words", F.slice("__raw", head + 1, F.greatest(F.size("__raw") - head - tail, F.lit(0)))).drop("__raw")
+    """Adds `words`, as written. An empty string stands before a leading and after a last separator; it equals no word."""
+    return df.withColumn("words", F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), BETWEEN, -1))
+
+
+def word_count() -> Column:
+    head, tail = (F.col("words")[0] == "").cast("int"), (F.element_at("words", -1) == "").cast("int")
+    return F.greatest(F.size("words") - head - tail, F.lit(0))
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Distinct windows: (wid, window words lower-cased, size, ids of the items that have it)."""
     b = benchmark.select(F.col("item_id"), lower_ascii(F.col("text").cast("string")).alias("text"))
-    b = with_words(b).where(F.size("words") > 0)
+    b = with_words(b).select("item_id", F.filter("words", lambda w: w != "").alias("words")).where(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - window + 1, F.lit(1)))
     w = b.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("words"), i, F.lit(window)))).alias("w"))
     return w.groupBy(F.array_join("w", " ").alias("wid")).agg(F.first("w").alias("w"), F.collect_set("item_id").alias("items")).withColumn("size", F.size("w"))
 
 
 def _tokens(docs: DataFrame, *kept: str) -> DataFrame:
-    return docs.select(*kept, F.posexplode("words").alias("pos", "word")).withColumn("key", F.lower("word"))
+    # The outer form, since the optimiser repeats the whole split in a filter before the inner one.
+    return docs.select(*kept, F.posexplode_outer("words").alias("pos", "word")).withColumn("key", F.xxhash64(F.lower("word")))
 
 
 def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -62,10 +66,10 @@ def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broad
     held = F.broadcast if small else (lambda df: df)
 
     docs = with_words(documents.select("doc_id", F.xxhash64("text").alias("th"), "text"))
-    vocabulary = windows.select(F.explode("w").alias("v")).select(F.lower("v").alias("v")).distinct()
+    vocabulary = windows.select(F.explode("w").alias("v")).select(F.xxhash64(F.lower("v")).alias("v")).distinct()
     common = _tokens(docs).join(held(vocabulary), F.col("key") == F.col("v"), "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
-    places = windows.select("wid", F.posexplode("w").alias("off", "t")).withColumn("t", F.lower("t"))
+    places = windows.select("wid", F.posexplode("w").alias("off", "t")).withColumn("t", F.xxhash64(F.lower("t")))
     ranked = places.join(common, F.col("t") == F.col("key"), "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "t", "off")).alias("least"))
     # A token that no document has rules its windows out.
     prefixes = ranked.where("least.n > 0").select(F.col("wid").alias("id"), F.col("least.t").alias("prefix"), F.col("least.off").alias("off")).join(windows, F.col("id") == F.col("wid")).select("wid", "prefix", "off", "size", "items")
@@ -98,7 +102,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         F.size("items").cast("long").alias("items"),
         F.sha2(F.array_join(ids, ","), 256).alias("sha"),
     )
-    all_docs = with_words(documents.select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("th"), F.size("words").cast("long").alias("n_words"))
+    all_docs = with_words(documents.select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("th"), word_count().cast("long").alias("n_words"))
     n_hit = F.coalesce("hit", F.lit(0)).cast("long")
     return all_docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("th").eqNullSafe(F.col("h")), "left").select(
         "doc_id",
