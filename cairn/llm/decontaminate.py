@@ -85,8 +85,8 @@ def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broad
     return docs.join(near, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("th").eqNullSafe(F.col("h"))).where(fits & equal).select("doc_id", "th", start.alias("start"), "size", "items")
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of documents(doc_id, text, ...)."""
+def _per_document(documents: DataFrame, benchmark: DataFrame, window: int, broadcast_windows: int) -> DataFrame:
+    """(d, h, hit, items, sha) of the documents with hits."""
     found = hits(documents, benchmark, window, broadcast_windows)
     per_doc = found.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
 
@@ -95,17 +95,35 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         return F.struct((acc["n"] + F.greatest(F.lit(0), end - F.greatest(acc["until"], x["start"]))).alias("n"), F.greatest(acc["until"], end).alias("until"))
 
     ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
-    per_doc = per_doc.select(
+    return per_doc.select(
         F.col("doc_id").alias("d"),
         F.col("th").alias("h"),
         F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("until")), cover)["n"].cast("long").alias("hit"),
         F.size("items").cast("long").alias("items"),
         F.sha2(F.array_join(ids, ","), 256).alias("sha"),
     )
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """documents without the contaminated ones; columns as they were."""
+    rows = _decided(documents.select("doc_id", "text"), benchmark, window, broadcast_windows)
+    bad = rows.where("contaminated").select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"))
+    keyed = documents.withColumn("__th", F.xxhash64("text"))
+    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("__th").eqNullSafe(F.col("__h")), "left_anti").drop("__th")
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of documents(doc_id, text, ...)."""
+    return _decided(documents, benchmark, window, broadcast_windows).drop("th")
+
+
+def _decided(documents: DataFrame, benchmark: DataFrame, window: int, broadcast_windows: int) -> DataFrame:
+    per_doc = _per_document(documents, benchmark, window, broadcast_windows)
     all_docs = with_words(documents.select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("th"), word_count().cast("long").alias("n_words"))
     n_hit = F.coalesce("hit", F.lit(0)).cast("long")
     return all_docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("th").eqNullSafe(F.col("h")), "left").select(
         "doc_id",
+        "th",
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce("items", F.lit(0)).cast("long").alias("n_items"),

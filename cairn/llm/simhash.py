@@ -54,14 +54,14 @@ def fingerprint(text: bytes, k: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
+    """(doc_id, fp, th) of every row; fp is the fingerprint as a signed long, th a hash of the text."""
 
     def run(batches):
         for b in batches:
             fps = np.fromiter((fingerprint(t, shingle) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), b.column(2)], names=["doc_id", "fp", "th"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("t")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("t"), F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, fp long, th long")
 
 
 def _flips() -> np.ndarray:
@@ -192,12 +192,28 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     return first.where("key = 0").select("a", "b").union(second.select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of docs(doc_id, text, ...)."""
+def _grouped(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
+    """(doc_id, fp, th, label, component_id) for every row; label is the least fingerprint of the component."""
     fp = cut(fingerprints(docs, shingle))
     reps = fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
     label = components(links(reps, bits)).withColumnRenamed("node", "fp")
     known = reps.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = known.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = known.join(least, "label").select(F.col("fp").alias("f"), "component_id")
-    return fp.join(of, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = known.join(least, "label").select(F.col("fp").alias("f"), "label", "component_id")
+    return fp.join(of, F.col("fp") == F.col("f")).drop("f")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of docs(doc_id, text, ...)."""
+    return _grouped(docs, shingle, bits).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, bits: int = BITS) -> DataFrame:
+    """docs without all but the first document, by (doc_id, hash of the text), of each component; columns as they were."""
+    groups = cut(_grouped(docs, shingle, bits).select("doc_id", "th", "label"))
+    first = groups.groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("f")).select(F.col("f.doc_id").alias("__d"), F.col("f.th").alias("__h"))
+    keyed = docs.withColumn("__th", F.xxhash64("text"))
+    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("__th").eqNullSafe(F.col("__h")), "left_semi")
+    if not groups.groupBy("doc_id", "th").count().where("count > 1").isEmpty():  # repeated rows
+        kept = kept.dropDuplicates(["doc_id", "__th"])
+    return kept.select(*docs.columns)
