@@ -46,7 +46,7 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
 
 
-def chunks(values: list[bytes], limit: int = CHUNK_BYTES):
+def chunks(values: list, limit: int = CHUNK_BYTES):
     """Index ranges of consecutive values of about `limit` bytes, one value at least."""
     lo = size = 0
     for i, v in enumerate(values):

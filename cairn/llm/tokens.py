@@ -8,7 +8,7 @@ the whole stream is the sum of the ids before it, taken from one small row per f
 
 Encoding is that of the tokenizers library. Its pre-tokenizer never lets a token cross a single
 space that stands between two visible characters, so texts are encoded by the pieces between such
-spaces, and pieces and their parts already seen are remembered (bounded by CACHE entries, then
+spaces, and pieces already seen are remembered (a bounded number, then the older ones are
 forgotten); a text with other white space around a space is encoded as a whole.
 
 Defined cases: null is the empty text, which has only the end id; rows with equal doc_id follow
@@ -20,16 +20,19 @@ from __future__ import annotations
 
 import json
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shared_path
+from .common import CHUNK_BYTES, chunks, cut, shared_path
 from .storage import new_file, open_dir
 
-SEQUENCE, END_ID, CACHE = 2048, 0, 300_000
+SEQUENCE, END_ID = 2048, 0
+#: Words that a Python worker remembers, some 250 bytes each.
+REMEMBERED = 1_300_000
 #: Sequences of a record batch.
 ROWS = 512
 _SCHEMA = "part int, path string, index string, n_docs long, n_tokens long"
@@ -44,14 +47,14 @@ def default_path() -> str:
 class Encoder:
     """Ids of whole texts as uint32 arrays."""
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), cache
+        self.tokenizer, self.most = Tokenizer.from_file(path), remembered
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         pre = model.get("pre_tokenizer") or {}
@@ -59,49 +62,62 @@ class Encoder:
         self.added = [t["content"] for t in model["added_tokens"]]
         if self.plain:
             self.tokenizer.model._resize_cache(0)
-        # The parts that a byte-level pre-tokenizer makes; fixed values of that public format.
-        self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        # Other white space beside a space, control characters that libraries class differently, scripts without spaces: encoded whole.
-        self.odd = regex.compile(r"\s\s|^\s|\s$|[\x1c-\x1f\x85\u0590-\u1fff\u2028-\u202f\u205f-\uffff\U00010000-\U0010ffff]").search
-        self.pieces: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        # Control characters and white space that libraries class differently, scripts without spaces: encoded whole.
+        self.odd = regex.compile(r"\s\s|[\x1c-\x1f\x85\xa0\u0590-\u1fff\u2000-\u200a\u2028-\u202f\u205f-\uffff\U00010000-\U0010ffff]").search
+        # Ids of a space and the word. A mark after a word is its own part.
+        self.words: dict[str, bytes] = {}
+        self.marks = dict(zip(".,;:!?", self._encode(list(".,;:!?")), strict=True)) if self.plain else {}
+
+    def _whole(self, text: str) -> bool:
+        """Whether the text must not be cut at its spaces. The quick tests only say yes too often."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.odd(text) is not None or any(a in text for a in self.added)
+        return any(x in text for x in ("  ", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", *self.added))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, fresh: list[str]) -> None:
-        split = {p: self.parts(p) for p in fresh if not any(a in p for a in self.added)}
-        need = list({x for parts in split.values() for x in parts} - self.known.keys())
-        if len(self.known) + len(need) > self.cache:
-            self.known.clear()
-            need = list({x for parts in split.values() for x in parts})
-        self.known.update(zip(need, self._encode(need), strict=True))
-        whole = [p for p in fresh if p not in split]
-        self.pieces.update(zip(whole, self._encode(whole), strict=True))
-        known = self.known
-        self.pieces.update({p: b"".join([known[x] for x in parts]) for p, parts in split.items()})
+        words, marks = self.words, self.marks
+        if len(words) > self.most:
+            self.words = words = dict(islice(words.items(), len(words) // 2, None))
+        need, ended, other = set(), [], []
+        for x in fresh:
+            if x.isalpha():
+                need.add(x)
+            elif x and x[-1] in marks and x[:-1].isalpha():
+                ended.append(x)
+                if x[:-1] not in words:
+                    need.add(x[:-1])
+            else:
+                other.append(x)
+        plain = list(need)
+        words.update(zip(plain, self._encode([" " + x for x in plain]), strict=True))
+        words.update({x: words[x[:-1]] + marks[x[-1]] for x in ended})
+        words.update(zip(other, self._encode([" " + x for x in other]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, without the end id."""
         if not self.plain:
             return self._encode(texts)
-        out: list[bytes | None] = [None] * len(texts)
-        cut_up = {}
-        for i, t in enumerate(texts):
-            if self.odd(t) is None:
-                p = t.split(" ")
-                cut_up[i] = [p[0], *(" " + x for x in p[1:])]
-        rest = [i for i in range(len(texts)) if i not in cut_up]
-        for i, ids in zip(rest, self._encode([texts[i] for i in rest]), strict=True):
+        whole = [i for i, t in enumerate(texts) if self._whole(t)]
+        out: list[bytes] = [b""] * len(texts)
+        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        if len(self.pieces) > self.cache:
-            self.pieces.clear()
-        fresh = set().union(*cut_up.values()) - self.pieces.keys() if cut_up else set()
+        held = set(whole)
+        rest = [i for i in range(len(texts)) if i not in held]
+        cut_up = [texts[i].split(" ") for i in rest]
+        first = self._encode([p.pop(0) for p in cut_up])
+        fresh = set().union(*cut_up) - self.words.keys() if cut_up else ()
+        if len(self.words) > self.most:  # what is dropped may be needed here
+            fresh = set().union(*cut_up)
         if fresh:
             self._learn(list(fresh))
-        get = self.pieces.__getitem__
-        for i, p in cut_up.items():
-            out[i] = b"".join(map(get, p))
+        get = self.words.__getitem__
+        for i, head, p in zip(rest, first, cut_up, strict=True):
+            out[i] = head + b"".join(map(get, p))
         return out
 
 
@@ -196,8 +212,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str | None = None
         end = np.array([end_id], np.uint32).tobytes()
         for b in batches:
             doc_ids, texts = b.column(0), b.column(1).to_pylist()
-            for lo in range(0, len(texts), 256):
-                encoded = [np.frombuffer(e + end, np.uint32) for e in enc.encode(texts[lo : lo + 256])]
+            for lo, hi in chunks(texts, CHUNK_BYTES // 2):
+                encoded = [np.frombuffer(e + end, np.uint32) for e in enc.encode(texts[lo:hi])]
                 if out is None:
                     out = SequenceWriter(folder, sequence, dtype)
                     system, index_path = new_file(folder, "index.arrow")
