@@ -280,3 +280,25 @@ def compile_assertion_filter(e: Expr, resolve) -> Column:
 def _null_against(op: str, value) -> bool:
     """A null column against a value: it is smaller."""
     return op in ("<", "<=", "!=")
+
+
+_CLASSES = {c.__name__: c for c in (Compare, In, Between, IsNull, Like, And, Or, Not, Col, Lit, Arith, Caller)}
+
+
+def to_json(e):
+    """A predicate or scalar as plain JSON values."""
+    if type(e).__name__ in _CLASSES and type(e) in _CLASSES.values():
+        return {"!": type(e).__name__, **{k: to_json(v) for k, v in e.__dict__.items()}}
+    if isinstance(e, tuple):
+        return {"()": [to_json(v) for v in e]}
+    return {"b": e.hex()} if isinstance(e, bytes) else e
+
+
+def from_json(j):
+    if isinstance(j, dict):
+        if "!" in j:
+            if j["!"] == "Caller":
+                return CALLER
+            return _CLASSES[j["!"]](**{k: from_json(v) for k, v in j.items() if k != "!"})
+        return tuple(from_json(v) for v in j["()"]) if "()" in j else bytes.fromhex(j["b"])
+    return j
