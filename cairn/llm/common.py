@@ -56,3 +56,13 @@ def chunks(values: list, limit: int = CHUNK_BYTES):
             lo, size = i + 1, 0
     if lo < len(values):
         yield lo, len(values)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, made longer until none is a column already (Spark ignores case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out

@@ -24,7 +24,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, unused
 
 WINDOW, BROADCAST_WINDOWS = 13, 200_000
 #: What stands between words, in a text whose A-Z are not yet lower case. Listed one by one: Java tests a listed character by one lookup.
@@ -107,9 +107,10 @@ def _per_document(documents: DataFrame, benchmark: DataFrame, window: int, broad
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """documents without the contaminated ones; columns as they were."""
     rows = _decided(documents.select("doc_id", "text"), benchmark, window, broadcast_windows)
-    bad = rows.where("contaminated").select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"))
-    keyed = documents.withColumn("__th", F.xxhash64("text"))
-    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("__th").eqNullSafe(F.col("__h")), "left_anti").drop("__th")
+    d, h, th = unused(documents.columns, "bad_d", "bad_h", "bad_th")
+    bad = rows.where("contaminated").select(F.col("doc_id").alias(d), F.col("th").alias(h))
+    keyed = documents.withColumn(th, F.xxhash64("text"))
+    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col(d)) & F.col(th).eqNullSafe(F.col(h)), "left_anti").drop(th)
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:

@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_bytes
+from .common import text_bytes, unused
 
-WINDOW, MIN_WORDS = 2, 8
+WINDOW, MIN_WORDS, REMOVED = 2, 8, "n_lines_removed"
 _WHITE = " \t\n\r\x0b\x0c"
 
 
@@ -75,7 +75,7 @@ def without_runs(text: str, starts: list[int], window: int) -> tuple[str, int]:
     return "\n".join(keep), len(drop)
 
 
-def _rewrite(names: list[str], window: int):
+def _rewrite(names: list[str], removed_name: str, window: int):
     def run(batches):
         for b in batches:
             cols = [b.column(i) for i in range(b.num_columns)]
@@ -90,7 +90,7 @@ def _rewrite(names: list[str], window: int):
                 if "n_chars" in names:
                     n = cols[names.index("n_chars")].to_pylist()
                     cols[names.index("n_chars")] = pa.array([len(t) if s else x for t, s, x in zip(texts, starts, n, strict=True)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(removed)], names=[*names, "n_lines_removed"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(removed)], names=[*names, removed_name])
 
     return run
 
@@ -107,11 +107,21 @@ def removals(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS)
 
 def line_dedup(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """docs(doc_id, text, ...) with the later repeated runs deleted from text, n_chars brought up to date where present,
-    and the number of deleted lines as n_lines_removed."""
-    gone = removals(docs, window, min_words).withColumnsRenamed({"d": "__d", "h": "__h", "starts": "__starts"})
-    both = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")}).join(gone, F.col("__id").eqNullSafe(F.col("__d")) & F.col("__th").eqNullSafe(F.col("__h")), "left")
+    and the number of deleted lines as n_lines_removed (a column of that name is replaced)."""
+    docs = docs.drop(REMOVED)
     names = docs.columns
+    d, h, starts, own, th = unused(names, "cut_d", "cut_h", "cut_starts", "cut_id", "cut_th")
+    gone = removals(docs, window, min_words).withColumnsRenamed({"d": d, "h": h, "starts": starts})
+    both = docs.withColumns({own: F.col("doc_id").cast("long"), th: F.xxhash64("text")}).join(gone, F.col(own).eqNullSafe(F.col(d)) & F.col(th).eqNullSafe(F.col(h)), "left")
     kept = [F.col(c).cast("string").alias(c) if c == "text" else F.col(c).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in names]
-    rows = both.select(*kept, "__starts")
-    schema = T.StructType([*rows.drop("__starts").schema.fields, T.StructField("n_lines_removed", T.LongType())])
-    return rows.mapInArrow(_rewrite(names, window), schema)
+    rows = both.select(*kept, starts)
+    schema = T.StructType([*rows.drop(starts).schema.fields, T.StructField(REMOVED, T.LongType())])
+    return rows.mapInArrow(_rewrite(names, REMOVED, window), schema)
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+    """line_dedup() with the columns of docs, whatever their names."""
+    (given,) = unused(docs.columns, f"{REMOVED}_given")
+    clash = [c for c in docs.columns if c.lower() == REMOVED]
+    out = line_dedup(docs.withColumnsRenamed(dict.fromkeys(clash, given)), window, min_words).drop(REMOVED)
+    return out.withColumnsRenamed({given: c for c in clash})

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, text_bytes
+from .common import chunks, text_bytes, unused
 
 SAMPLE, PAIRS, THRESHOLD, HELD_OUT = 12_000, 60_000, 0.7, 2
 RIDGE, ROUNDS = 1e-3, 60
@@ -149,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker:
 
 
 def scored(docs: DataFrame, model: Ranker) -> DataFrame:
-    """docs(doc_id, text, ...) with all its columns, quality_score and quality_kept."""
+    """docs(doc_id, text, ...) with all its columns, quality_score and quality_kept (columns of those names are replaced)."""
+    docs = docs.drop("quality_score", "quality_kept")
     names = docs.columns
 
     def run(batches):
@@ -163,7 +164,14 @@ def scored(docs: DataFrame, model: Ranker) -> DataFrame:
     from pyspark.sql import types as T
 
     schema = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType()), T.StructField("quality_kept", T.BooleanType())])
-    return docs.select(*(F.col(c) for c in names), text_bytes().alias("__t")).mapInArrow(run, schema)
+    return docs.select(*(F.col(c) for c in names), text_bytes().alias(unused(names, "t")[0])).mapInArrow(run, schema)
+
+
+def keep(docs: DataFrame, model: Ranker) -> DataFrame:
+    """docs without those below the threshold; columns as they were, whatever their names."""
+    named = {c: unused(docs.columns, f"{c}_given")[0] for c in docs.columns if c.lower() in ("quality_score", "quality_kept")}
+    kept = scored(docs.withColumnsRenamed(named), model).where("quality_kept").drop("quality_score", "quality_kept")
+    return kept.withColumnsRenamed({v: k for k, v in named.items()})
 
 
 def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

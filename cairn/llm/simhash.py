@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_bytes
+from .common import cut, text_bytes, unused
 from .components import components
 
 SHINGLE, BITS, HOT_ANCHOR = 3, 3, 4096
@@ -211,9 +211,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
 def one_of_each(docs: DataFrame, shingle: int = 5, bits: int = BITS) -> DataFrame:
     """docs without all but the first document, by (doc_id, hash of the text), of each component; columns as they were."""
     groups = cut(_grouped(docs, shingle, bits).select("doc_id", "th", "label"))
-    first = groups.groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("f")).select(F.col("f.doc_id").alias("__d"), F.col("f.th").alias("__h"))
-    keyed = docs.withColumn("__th", F.xxhash64("text"))
-    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("__th").eqNullSafe(F.col("__h")), "left_semi")
+    d, h, th = unused(docs.columns, "one_d", "one_h", "one_th")
+    first = groups.groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("f")).select(F.col("f.doc_id").alias(d), F.col("f.th").alias(h))
+    keyed = docs.withColumn(th, F.xxhash64("text"))
+    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col(d)) & F.col(th).eqNullSafe(F.col(h)), "left_semi")
     if not groups.groupBy("doc_id", "th").count().where("count > 1").isEmpty():  # repeated rows
-        kept = kept.dropDuplicates(["doc_id", "__th"])
+        kept = kept.dropDuplicates(["doc_id", th])
     return kept.select(*docs.columns)

@@ -19,12 +19,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the ranking, learned from the labels of other rows, puts below the threshold."""
     model = quality.train(docs, _table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).where("quality_kept").select(*docs.columns)
+    return quality.keep(docs, model)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later repeated runs of lines; every document stays."""
-    return lines.line_dedup(docs).select(*docs.columns)
+    return lines.without_repeats(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
