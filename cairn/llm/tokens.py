@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from itertools import islice
 
 import numpy as np
@@ -32,7 +33,7 @@ from .storage import new_file, open_dir
 
 SEQUENCE, END_ID = 2048, 0
 #: Words that a Python worker remembers, some 250 bytes each.
-REMEMBERED = 1_300_000
+REMEMBERED = 1_800_000
 #: Sequences of a record batch.
 ROWS = 512
 _SCHEMA = "part int, path string, index string, n_docs long, n_tokens long"
@@ -77,7 +78,7 @@ class Encoder:
         return any(x in text for x in ("  ", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", *self.added))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, fresh: list[str]) -> None:
         words, marks = self.words, self.marks
