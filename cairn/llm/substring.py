@@ -2,8 +2,8 @@
 
 A window is `window` consecutive words. Its minimiser is the least hash of the word grams inside
 it; consecutive windows that share one minimiser form a super-k-mer. Equal windows have equal
-minimisers at equal offsets, so a minimiser that belongs to one super-k-mer only cannot hide a
-repeat: those never travel. The others are cut out of the text as one packed string, go to the
+minimisers, so a minimiser that belongs to one super-k-mer only, and stands at one place in it,
+cannot hide a repeat: those never travel. The others are cut out of the text as one packed string, go to the
 bucket of their minimiser, and there the windows of the distinct strings are sorted and counted
 byte for byte. Words under a repeated window are removed.
 
@@ -52,7 +52,7 @@ def _window_min(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def minimiser_runs(texts: list[bytes], window: int = WINDOW, gram: int = GRAM):
-    """(index of text, first word, windows, minimiser) of each super-k-mer, as arrays."""
+    """(index of text, first word, windows, minimiser) of each super-k-mer, as arrays; windows is negative if the minimiser moves inside."""
     owner, base, sizes, hashes = [], [], [], []
     for i, t in enumerate(texts):
         words = t.split()
@@ -85,11 +85,16 @@ def minimiser_runs(texts: list[bytes], window: int = WINDOW, gram: int = GRAM):
         piece = np.searchsorted(first, at, side="right") - 1
         fits = at + window <= (first + size)[piece]
         at, piece, least = at[fits], piece[fits], least[fits]
-        new = np.r_[True, (least[1:] != least[:-1]) | (piece[1:] != piece[:-1])]
+        place = (least & np.uint64((1 << 22) - 1)).astype(np.int64)
+        value = g[place]
+        new = np.r_[True, (value[1:] != value[:-1]) | (piece[1:] != piece[:-1])]
         start = np.flatnonzero(new)
         count = np.diff(np.r_[start, len(at)])
+        if len(start):  # the same gram at several places, as in periodic text: such a run may repeat itself
+            moved = np.r_[False, place[1:] != place[:-1]] & ~new
+            count = np.where(np.add.reduceat(moved, start), -count, count)
         p = piece[start]
-        parts.append((np.array(owner[lo:hi])[p], at[start] - first[p] + np.array(base[lo:hi])[p], count, g[(least[start] & np.uint64((1 << 22) - 1)).astype(np.int64)]))
+        parts.append((np.array(owner[lo:hi])[p], at[start] - first[p] + np.array(base[lo:hi])[p], count, value[start]))
         lo = hi
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
@@ -116,7 +121,7 @@ def _heads(window: int, gram: int):
 
 
 def _shared(batches):
-    """Rows sorted by (g, th, start): those whose g has another run. The last rows of a batch wait for the next."""
+    """Rows sorted by (g, th, start): those whose g has another run, or whose run may repeat itself. The last rows of a batch wait for the next."""
     held = None  # the open minimiser's first row, until it has company
 
     for b in batches:
@@ -131,7 +136,7 @@ def _shared(batches):
         i = np.flatnonzero(fresh)
         group = np.cumsum(new_g)
         mine = group[i]
-        count = np.bincount(mine, minlength=group[-1] + 1)
+        count = np.bincount(mine, weights=1 + (n[i] < 0), minlength=group[-1] + 1)
         open_first = held is not None and not new_g[0]
         if open_first:
             count[0] += 1 + held["shared"]
@@ -157,6 +162,7 @@ def _cut_strings(window: int):
                 key = b.column(0)[i].as_py()
                 v = runs[i].values
                 g, start, n = (v.field(k).to_numpy(zero_copy_only=False) for k in ("g", "start", "n"))
+                n = np.abs(n)
                 words = t.split()
                 joined = b" ".join(words)
                 at = np.r_[0, np.fromiter(accumulate(len(w) + 1 for w in words), np.int64, len(words))] if words else np.zeros(1, np.int64)
@@ -189,8 +195,6 @@ def _strings(cols):
 
 def _counted(window: int):
     def verdicts(g, strings):
-        if len(strings) == 1 and strings[0][2] < 2:
-            return
         found = []
         for i, (_, packed, k) in enumerate(strings):
             w = packed.split(b" ")

@@ -38,7 +38,7 @@ ROWS = (
     + [(100 + i, BASE) for i in range(6)]
     + [(120 + i, near(BASE, 1)) for i in range(12)]
     + [(140 + i, sentence(20) + "\n" + PASSAGE + "\n" + sentence(20)) for i in range(4)]
-    + [(200, None), (201, ""), (202, "   \n\t "), (203, "one"), (204, "a b"), (None, "no id here " + PASSAGE), (205, sentence(30_000)), (206, "rep " * 200), (7, "same id, other text"), (100, BASE), (210, PASSAGE + " " + PASSAGE), (211, "\x1c odd\x85 spaces  here \r\n x")]
+    + [(200, None), (201, ""), (202, "   \n\t "), (203, "one"), (204, "a b"), (None, "no id here " + PASSAGE), (205, sentence(30_000)), (206, "rep " * 200), (208, "ab cd " * 60 + sentence(3)), (209, "ab cd " * 20), (7, "same id, other text"), (100, BASE), (210, PASSAGE + " " + PASSAGE), (211, "\x1c odd\x85 spaces  here \r\n x")]
 )
 
 
@@ -201,7 +201,7 @@ def test_minimiser_runs_in_pieces(monkeypatch):
     whole = substring.minimiser_runs([text])
     monkeypatch.setattr(substring, "PIECE", 500)
     parts = substring.minimiser_runs([text])
-    cover = lambda runs: sorted((s + k, int(g)) for s, n, g in zip(runs[1].tolist(), runs[2].tolist(), runs[3].tolist(), strict=True) for k in range(n))
+    cover = lambda runs: sorted((s + k, int(g)) for s, n, g in zip(runs[1].tolist(), runs[2].tolist(), runs[3].tolist(), strict=True) for k in range(abs(n)))
     assert cover(whole) == cover(parts)
 
 
