@@ -149,6 +149,12 @@ class Engine:
         df = self.spark.read.schema(_EVENT).parquet(*files) if files else self.spark.createDataFrame([], _EVENT)
         return df.where(F.col("commit_seq") > gone) if gone else df
 
+    def lifecycle(self) -> DataFrame:
+        """(commit_seq, ts_micros, event) of every catalog change."""
+        self.refresh()
+        rows = [(e["seq"], e["ts_micros"], json.dumps(op, sort_keys=True)) for e in self.entries for op in e["ddl"]]
+        return self.spark.createDataFrame(rows, "commit_seq long, ts_micros long, event string")
+
     def deltas(self, table: str, after: int, until: int) -> DataFrame:
         return self.change_log(table, until, after)
 
@@ -388,6 +394,35 @@ class View:
             raise Overflow("counter over 64 bits")
         return total
 
+    def kv_project(self, project: str) -> DataFrame:
+        """(ns, key, value, created_at) of every scope of a project."""
+        if not C.allowed(self.engine.catalog(self.seq), self.caller, "kv_read", project):
+            raise PermissionDenied(f"{self.caller} may not read {project}")
+        return self.engine.table_at(KV_TABLE, self.seq).where(F.col("ns").startswith(f"{project}/")).orderBy("ns", "key")
+
+    def kv_projection(self, ns: str = "main/app") -> DataFrame:
+        """The namespace as a table (project_id, scope_id, key, value, commit_seq), where enabled."""
+        if ns not in self.engine.catalog(self.seq)["kv_projections"]:
+            raise NotFound(f"no KV projection of {ns}")
+        log = self.engine.change_log(KV_TABLE, self.seq).where(F.col("ns") == ns)
+        last = log.groupBy("key").agg(F.max_by(F.struct("_op", "value", "_seq"), "_seq").alias("v")).where("v._op = 'U'")
+        project, scope = ns.split("/")
+        return last.select(F.lit(project).alias("project_id"), F.lit(scope).alias("scope_id"), "key", F.col("v.value").alias("value"), F.col("v._seq").alias("commit_seq"))
+
+    def projects(self) -> list[dict]:
+        cat = self.engine.catalog(self.seq)
+        return [{"project": p, "owner": x["owner"], "scopes": list(x["scopes"]), "tables": sum(t.startswith(f"{p}/") for t in cat["tables"])} for p, x in sorted(cat["projects"].items())]
+
+    def describe(self, table: str) -> dict:
+        full = self.name(table)
+        cat = self.engine.catalog(self.seq)
+        if full not in cat["tables"]:
+            raise TableNotFound(table)
+        return {k: v for k, v in cat["tables"][full].items() if k != "next_id"}
+
+    def exists(self, table: str) -> bool:
+        return self.name(table) in self.engine.catalog(self.seq)["tables"]
+
     def tables(self) -> list[dict]:
         cat = self.engine.catalog(self.seq)
         return [{"table": n, "columns": [c["name"] for c in t["columns"]], "primary_key": t["primary_key"], "indexes": sorted(t["indexes"]), "async_indexes": sorted(t["async_indexes"]), "rows": self.engine.table_at(n, self.seq).count()} for n, t in cat["tables"].items() if n.startswith(f"{self.project}/{self.scope}/")]
