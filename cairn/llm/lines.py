@@ -8,8 +8,9 @@ position with the earliest one, matches that continue on the lines before and af
 and of each run that has an earlier twin the lines are deleted. Earlier means a smaller
 (doc_id, hash of the text, position); a run stays where it stands first.
 
-A window counts only if it has MIN_WORDS words, so that two chance short lines are no passage;
-shorter ones go with a longer run that covers them. Blank lines go if both neighbours go.
+A window counts only if it has MIN_WORDS words, so that two chance short lines are no passage.
+With window=None, as op9 and the pipeline have it, a single line of MIN_WORDS words is a window of
+its own besides those of WINDOW lines. Blank lines go if both neighbours go.
 
 Defined cases: null text is empty and loses nothing; a null doc_id sorts first; rows with equal
 doc_id and text are one document, and all keep or lose the same lines; ties within a text go by
@@ -31,38 +32,41 @@ WINDOW, MIN_WORDS, REMOVED = 2, 8, "n_lines_removed"
 _WHITE = " \t\n\r\x0b\x0c"
 
 
-def _winnow(window: int, min_words: int):
-    """Rows (print, other, pos): a window's fingerprint, the hash of the whole window, and the window's place among the non-blank lines."""
+def spans(words: list[int], window: int | None, min_words: int) -> list[tuple[int, int]]:
+    """(start, stop) of the windows that count, from the words of each non-blank line."""
+    sizes = (1, WINDOW) if window is None else (window,)
+    return [(j, j + n) for n in sizes for j in range(len(words) - n + 1) if sum(words[j : j + n]) >= min_words]
+
+
+def _winnow(window: int | None, min_words: int):
+    """Rows (print, whole, d, h, pos, n): a window's fingerprint, the hash of the whole window, and the window's place among the non-blank lines."""
 
     def run(batches):
         for b in batches:
-            prints, wholes, owners, places = [], [], [], []
+            prints, wholes, owners, places, sizes = [], [], [], [], []
             for i, text in enumerate(b.column(2).to_pylist()):
                 lines = [x for x in map(bytes.strip, text.split(b"\n")) if x]
-                if len(lines) < window:
-                    continue
                 h = [xxhash.xxh64_intdigest(x) for x in lines]
-                words = [len(x.split()) for x in lines]
-                for j in range(len(lines) - window + 1):
-                    if sum(words[j : j + window]) >= min_words:
-                        prints.append(min(h[j : j + window]))
-                        wholes.append(xxhash.xxh3_64_intdigest(b"\n".join(lines[j : j + window])))
-                        owners.append(i)
-                        places.append(j)
+                for j, k in spans([len(x.split()) for x in lines], window, min_words):
+                    prints.append(min(h[j:k]))
+                    wholes.append(xxhash.xxh3_64_intdigest(b"\n".join(lines[j:k])))
+                    owners.append(i)
+                    places.append(j)
+                    sizes.append(k - j)
             at = pa.array(owners, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(np.array(wholes, np.uint64).view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(places, pa.int32())],
-                names=["print", "whole", "d", "h", "pos"],
+                [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(np.array(wholes, np.uint64).view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(places, pa.int32()), pa.array(sizes, pa.int32())],
+                names=["print", "whole", "d", "h", "pos", "n"],
             )
 
     return run
 
 
-def without_runs(text: str, starts: list[int], window: int) -> tuple[str, int]:
-    """The text without the lines of the windows that start at `starts`, and how many non-blank lines went."""
+def without_runs(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
+    """The text without the lines of `runs` (first line, number of lines), and how many non-blank lines went."""
     lines = text.split("\n")
     solid = [k for k, x in enumerate(lines) if x.strip(_WHITE)]
-    drop = {solid[k] for s in starts for k in range(s, s + window)}
+    drop = {solid[k] for s, n in runs for k in range(s, s + n)}
     keep, gone_before = [], False
     for k, x in enumerate(lines):
         if k in drop:
@@ -75,7 +79,7 @@ def without_runs(text: str, starts: list[int], window: int) -> tuple[str, int]:
     return "\n".join(keep), len(drop)
 
 
-def _rewrite(names: list[str], removed_name: str, window: int):
+def _rewrite(names: list[str], removed_name: str):
     def run(batches):
         for b in batches:
             cols = [b.column(i) for i in range(b.num_columns)]
@@ -85,7 +89,7 @@ def _rewrite(names: list[str], removed_name: str, window: int):
                 texts = cols[names.index("text")].to_pylist()
                 for i, s in enumerate(starts):
                     if s:
-                        texts[i], removed[i] = without_runs(texts[i], s, window)
+                        texts[i], removed[i] = without_runs(texts[i], [(x["pos"], x["n"]) for x in s])
                 cols[names.index("text")] = pa.array(texts, pa.string())
                 if "n_chars" in names:
                     n = cols[names.index("n_chars")].to_pylist()
@@ -95,17 +99,17 @@ def _rewrite(names: list[str], removed_name: str, window: int):
     return run
 
 
-def removals(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
-    """(d, h, starts): for each document that loses lines, where its repeated windows start among its non-blank lines."""
+def removals(docs: DataFrame, window: int | None = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+    """(d, h, starts): for each document that loses lines, where its repeated windows start among its non-blank lines, and their lengths."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), text_bytes().alias("t"))
-    w = keyed.mapInArrow(_winnow(window, min_words), "print long, whole long, d long, h long, pos int")
+    w = keyed.mapInArrow(_winnow(window, min_words), "print long, whole long, d long, h long, pos int, n int")
     place = F.struct(F.coalesce("d", F.lit(-(2**63))).alias("d"), "h", "pos")
     first = w.groupBy("print", "whole").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select(F.col("print").alias("p"), F.col("whole").alias("q"), "first")
     later = w.join(first, (F.col("print") == F.col("p")) & (F.col("whole") == F.col("q"))).where(place > F.col("first"))
-    return later.groupBy("d", "h").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
+    return later.groupBy("d", "h").agg(F.sort_array(F.collect_set(F.struct("pos", "n"))).alias("starts"))
 
 
-def line_dedup(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, window: int | None = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """docs(doc_id, text, ...) with the later repeated runs deleted from text, n_chars brought up to date where present,
     and the number of deleted lines as n_lines_removed (a column of that name is replaced)."""
     docs = docs.drop(REMOVED)
@@ -116,10 +120,10 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS
     kept = [F.col(c).cast("string").alias(c) if c == "text" else F.col(c).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in names]
     rows = both.select(*kept, starts)
     schema = T.StructType([*rows.drop(starts).schema.fields, T.StructField(REMOVED, T.LongType())])
-    return rows.mapInArrow(_rewrite(names, REMOVED, window), schema)
+    return rows.mapInArrow(_rewrite(names, REMOVED), schema)
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int | None = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """line_dedup() with the columns of docs, whatever their names."""
     (given,) = unused(docs.columns, f"{REMOVED}_given")
     clash = [c for c in docs.columns if c.lower() == REMOVED]

@@ -47,7 +47,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = lines.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), window=None)
     return out.select("doc_id", "n_lines_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

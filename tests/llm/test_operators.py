@@ -427,3 +427,11 @@ def test_quality(spark, docs, none):
     # Labels of held-out rows teach nothing.
     flipped = lab.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
     assert {x["doc_id"]: x["score"] for x in quality.quality(d, flipped).collect()} == {k: x["score"] for k, x in got.items()}
+
+
+def test_lines_single(spark):
+    a, b = "one line of eight words that stands twice", "one short line stands here"
+    data = [(1, f"x\n{a}\ny"), (2, f"p\n{a}\nq"), (3, a), (4, b), (5, b), (6, f"{a}\n{b}")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in lines.line_dedup(df, window=None).collect()}
+    assert got == {1: data[0][1], 2: "p\nq", 3: "", 4: b, 5: b, 6: b}
