@@ -8,9 +8,13 @@ position with the earliest one, matches that continue on the lines before and af
 and of each run that has an earlier twin the lines are deleted. Earlier means a smaller
 (doc_id, hash of the text, position); a run stays where it stands first.
 
-A window counts only if it has MIN_WORDS words, so that two chance short lines are no passage.
-With window=None, as op9 and the pipeline have it, a single line of MIN_WORDS words is a window of
-its own besides those of WINDOW lines. Blank lines go if both neighbours go.
+A window counts only if it has MIN_WORDS words, so that two chance short lines are no passage; with
+a fixed `window`, shorter ones stay. With window=None, as op9 and the pipeline have it, the minimum
+holds for a whole run of any number of lines: windows are the shortest runs of MIN_WORDS words from
+each line on and up to each line (at most MIN_WORDS lines, one if it is long enough). Every line of
+a repeated run with that many words lies in such a window inside the run, and a window that stands
+earlier is itself such a run; so exactly the lines of the maximal repeated runs go, with nothing to
+extend. Blank lines go if both neighbours go.
 
 Defined cases: null text is empty and loses nothing; a null doc_id sorts first; rows with equal
 doc_id and text are one document, and all keep or lose the same lines; ties within a text go by
@@ -33,9 +37,14 @@ _WHITE = " \t\n\r\x0b\x0c"
 
 
 def spans(words: list[int], window: int | None, min_words: int) -> list[tuple[int, int]]:
-    """(start, stop) of the windows that count, from the words of each non-blank line."""
-    sizes = (1, WINDOW) if window is None else (window,)
-    return [(j, j + n) for n in sizes for j in range(len(words) - n + 1) if sum(words[j : j + n]) >= min_words]
+    """(start, stop) of the windows that count, from the words of each non-blank line; window None takes the least runs of min_words words."""
+    if window is not None:
+        return [(j, j + window) for j in range(len(words) - window + 1) if sum(words[j : j + window]) >= min_words]
+    most, n = max(1, min_words), len(words)
+    before = np.concatenate([[0], np.cumsum(np.array(words, np.int64))])
+    stop = np.searchsorted(before, before[:-1] + most)  # from each line on
+    start = np.searchsorted(before, before[1:] - most, "right") - 1  # up to each line
+    return sorted({(j, k) for j, k in enumerate(stop.tolist()) if k <= n} | {(j, k + 1) for k, j in enumerate(start.tolist()) if j >= 0})
 
 
 def _winnow(window: int | None, min_words: int):

@@ -435,3 +435,23 @@ def test_lines_single(spark):
     df = spark.createDataFrame(data, "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in lines.line_dedup(df, window=None).collect()}
     assert got == {1: data[0][1], 2: "p\nq", 3: "", 4: b, 5: b, 6: b}
+
+
+def test_lines_maximal_runs(spark):
+    r = random.Random(5)
+    line = lambda: " ".join(r.choice("abcdefgh") for _ in range(r.choice([1, 1, 1, 2, 3, 4, 9])))
+    stock = [[line() for _ in range(r.randrange(1, 12))] for _ in range(8)]
+    data = [(i, "\n".join(x for _ in range(r.randrange(1, 4)) for x in (r.choice(stock)[r.choice([0, 0, 1]) :] if r.random() < 0.7 else [line()]))) for i in range(50)]
+    menu = "\n".join(["home", "news", "shop", "about us", "help", "terms", "jobs", "login"])
+    data += [(100, menu + "\nown"), (101, "start\n" + menu), (102, "home\nnews"), (103, "a line that has quite enough words in it\nend"), (104, "q\na line that has quite enough words in it\nend")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {x["doc_id"]: x["text"] for x in lines.line_dedup(df, window=None).collect()}
+    first, gone = {}, {i: set() for i, _ in data}
+    for i, t in data:  # every run of lines, by brute force
+        x = t.split("\n")
+        for a in range(len(x)):
+            for b in range(a + 1, len(x) + 1):
+                if len(" ".join(x[a:b]).split()) >= 8 and first.setdefault(tuple(x[a:b]), (i, a)) != (i, a):
+                    gone[i] |= set(range(a, b))
+    assert got == {i: "\n".join(y for k, y in enumerate(t.split("\n")) if k not in gone[i]) for i, t in data}
+    assert got[101] == "start" and got[102] == "home\nnews" and got[104] == "q"
