@@ -53,7 +53,7 @@ def _one(text: bytes) -> list[float]:
     solo = sum(1 for v in seen.values() if v == 1)
     upper = sum(map(bytes.isupper, seen)) / max(1, len(seen))
     alpha = sum(map(bytes.isalpha, seen)) / max(1, len(seen))
-    novowel = sum(1 for x in list(seen)[:2000] if not _VOWELS.search(x)) / max(1, min(2000, len(seen)))
+    novowel = sum(1 for x in seen if not _VOWELS.search(x)) / max(1, len(seen))
     return [
         *count,
         *np.sqrt(count),

@@ -455,3 +455,11 @@ def test_lines_maximal_runs(spark):
                     gone[i] |= set(range(a, b))
     assert got == {i: "\n".join(y for k, y in enumerate(t.split("\n")) if k not in gone[i]) for i, t in data}
     assert got[101] == "start" and got[102] == "home\nnews" and got[104] == "q"
+
+
+def test_quality_whole_text():
+    plain = [f"a{i}" for i in range(2500)]
+    junk = [f"x{i}" for i in range(2500)]
+    one, other = (quality.features([" ".join(w).encode()])[0] for w in (plain + junk, junk + plain))
+    k = len(quality._GROUPS) * 2 + 4 + 13  # the share of distinct words without a vowel
+    assert one[k] == other[k] == 0.5
