@@ -3,8 +3,9 @@
 Base spans are leftmost non-overlapping matches of four kinds, each with a check (octets, digit
 counts, Luhn); a match that fails its check is dropped. On top of them high-recall generators
 propose candidates: long mixed tokens (kind secret), local phone numbers (phone) and spelled-out
-addresses (email). Boosted trees score each candidate by its format and the characters before it,
-and candidates over the calibrated threshold that touch no base span are added. Base spans stay.
+addresses (email). Each generator runs on its own, so their proposals may overlap. Boosted trees
+score each candidate by its format and the characters before it; of those over the calibrated
+threshold that touch no base span the likeliest of overlapping ones are added. Base spans stay.
 
 The trees are trained here on examples made by rule (EXAMPLES of them, a documented bound), with
 features computed by the same columns, and are then columns themselves, so the main path stays in
@@ -41,7 +42,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _TOKEN = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{16,128}(?![A-Za-z0-9_-])"
 _LOCAL = r"(?<![0-9A-Za-z.+)-])(?<!\+[0-9] )\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])"
 _SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]\x20?(?:at|AT)\x20?[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[\[(]\x20?(?:dot|DOT)\x20?[\])])\x20?[A-Za-z0-9-]{2,63})+"
-CANDIDATE = f"{_TOKEN}|{_LOCAL}|{_SPELLED}"
+GENERATORS = (_TOKEN, _LOCAL, _SPELLED)
 _CUE = r"(?i)(?:token|key|secret|passw|pwd|auth|bearer|api|credential|phone|tel|call|fax|mobile|cell|mail|contact|reach)[a-z_]{0,8}[^A-Za-z0-9]{0,5}$"
 _BLOCK = 128
 
@@ -136,7 +137,25 @@ def candidates(text: Column) -> Column:
         kind = F.when(s.rlike(r"[\[(]"), F.when(s.rlike("[A-Za-z]"), F.lit("email")).otherwise(F.lit("phone"))).when(s.rlike("[A-Za-z]"), F.lit("secret")).otherwise(F.when(s.rlike("[ .-]"), F.lit("phone")).otherwise(F.lit("secret")))
         return F.struct(c["start"].alias("start"), c["end"].alias("end"), kind.alias("kind"), F.array(*(f.cast("double") for f in _features(s, before))).alias("f"))
 
-    return F.transform(_spans(text, CANDIDATE, F.lit(True)), described)
+    def proposed(g: int, guard: Column) -> Column:
+        return F.transform(_spans(text, GENERATORS[g], guard), lambda c: described(c).withField("g", F.lit(g)))
+
+    return F.concat(proposed(0, F.lit(True)), proposed(1, F.lit(True)), proposed(2, text.rlike(r"[\[(]\x20?(?:at|AT)\x20?[\])]")))
+
+
+def _overlap(x: Column, y: Column) -> Column:
+    return (x["start"] < y["end"]) & (y["start"] < x["end"])
+
+
+def _resolved(found: Column) -> Column:
+    """Of candidates(start, end, kind, g, p) that overlap the likeliest stays (then the longest, then the first). Those of one generator never overlap."""
+    rare = F.filter(found, lambda x: x["g"] != 0)
+    meets = lambda c: F.when(c["g"] == 0, F.exists(rare, lambda x: _overlap(x, c))).otherwise(F.exists(found, lambda x: (x["g"] != c["g"]) & _overlap(x, c)))
+    order = F.array_sort(F.transform(F.filter(found, meets), lambda c: F.struct((-c["p"]).alias("p"), (c["start"] - c["end"]).alias("n"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
+    bare = lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))
+    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+    best = F.aggregate(order, none, lambda kept, c: F.when(F.exists(kept, lambda x: _overlap(x, c)), kept).otherwise(F.array_append(kept, bare(c))))
+    return F.concat(F.transform(F.filter(found, lambda c: ~meets(c)), bare), best)
 
 
 def _examples(n: int, seed: int = 11) -> list[tuple[str, str, int]]:
@@ -199,13 +218,14 @@ def pii(docs: DataFrame, probability: float = PROBABILITY) -> DataFrame:
     found = rows.select("doc_id", *(bare(c).alias(k) for k, c in base_spans(t).items()), candidates(t).alias("c"))
     width = len(_features(F.lit(""), F.lit("")))
     base = F.concat(*(F.col(k) for k in KINDS[:4]))
-    free = lambda c: ~F.exists(base, lambda x: (x["start"] < c["end"]) & (c["start"] < x["end"]))
-    sure = lambda c: boosted.probability_column([c["f"][i] for i in range(width)]) >= probability
-    added = found.withColumn("added", F.filter("c", lambda c: free(c) & sure(c)))
+    free = lambda c: ~F.exists(base, lambda x: _overlap(x, c))
+    rated = lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), c["g"].alias("g"), boosted.probability_column([c["f"][i] for i in range(width)]).alias("p"))
+    sure = found.withColumn("sure", F.filter(F.transform(F.filter("c", free), rated), lambda c: c["p"] >= probability))
+    added = sure.withColumn("added", _resolved(F.col("sure")))
     named = lambda k, a: F.transform(a, lambda x: F.concat(F.lit(k + ":"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string")))
     of_kind = lambda k: bare(F.filter("added", lambda c: c["kind"] == k))
     of = {k: of_kind(k) for k in KINDS}
-    every = F.concat(*(named(k, F.array_sort(F.concat(F.col(k), of[k])) if k != "secret" else of[k]) for k in KINDS))
+    every = F.concat(*(named(k, F.array_sort(F.concat(F.col(k), of[k]) if k != "secret" else of[k])) for k in KINDS))
     return added.select(
         "doc_id",
         *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:4]),

@@ -463,3 +463,15 @@ def test_quality_whole_text():
     one, other = (quality.features([" ".join(w).encode()])[0] for w in (plain + junk, junk + plain))
     k = len(quality._GROUPS) * 2 + 4 + 13  # the share of distinct words without a vowel
     assert one[k] == other[k] == 0.5
+
+
+def test_pii_overlapping_candidates(spark):
+    t = "contact maria_gonzalez_1987 [at] mail.com now"
+    df = spark.createDataFrame([(1, t)], "doc_id long, text string")
+    c = df.select(pii.candidates(F.col("text")).alias("c")).first()["c"]
+    assert {(x["start"], x["end"], x["kind"]) for x in c} == {(8, 27, "secret"), (8, 41, "email")}
+    assert pii.pii(df).first()["spans"] == "email:8:41"
+    given = [(0, 9, 0, 0.95), (20, 30, 0, 0.99), (5, 25, 2, 0.97), (40, 50, 1, 0.9), (28, 35, 1, 0.98)]
+    found = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit("x").alias("kind"), F.lit(g).alias("g"), F.lit(p).alias("p")) for a, b, g, p in given))
+    kept = df.select(pii._resolved(found).alias("k")).first()["k"]
+    assert sorted((x["start"], x["end"]) for x in kept) == [(0, 9), (20, 30), (40, 50)]
