@@ -39,7 +39,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 #: \+[0-9][\x20().0-9-]+[0-9]
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
-_TOKEN = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{16,128}(?![A-Za-z0-9_-])"
+_TOKEN = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{16,}+"
 _LOCAL = r"(?<![0-9A-Za-z.+)-])(?<!\+[0-9] )\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])"
 _SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]\x20?(?:at|AT)\x20?[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[\[(]\x20?(?:dot|DOT)\x20?[\])])\x20?[A-Za-z0-9-]{2,63})+"
 GENERATORS = (_TOKEN, _LOCAL, _SPELLED)
@@ -123,7 +123,7 @@ def _features(s: Column, before: Column) -> list[Column]:
         s.rlike(r"[\[(](?i:\x20?at\x20?)[\])]").cast("int"),
         before.rlike(_CUE).cast("int"),
         before.rlike("[=:\"']\\s?$").cast("int"),
-        F.length(F.regexp_extract(s, "([A-Za-z]*)$", 1)),
+        F.length(F.regexp_extract(s, "(?<![A-Za-z])([A-Za-z]*+)$", 1)),
         without("[^g-z]"),
     ]
 

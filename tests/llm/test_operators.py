@@ -475,3 +475,15 @@ def test_pii_overlapping_candidates(spark):
     found = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit("x").alias("kind"), F.lit(g).alias("g"), F.lit(p).alias("p")) for a, b, g, p in given))
     kept = df.select(pii._resolved(found).alias("k")).first()["k"]
     assert sorted((x["start"], x["end"]) for x in kept) == [(0, 9), (20, 30), (40, 50)]
+
+
+def test_pii_long_tokens(spark):
+    r = random.Random(9)
+    key = "".join(r.choice("0123456789abcdef") for _ in range(400))
+    part = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-") for _ in range(300))
+    data = [(1, f'token = "{key}" end'), (2, f"Authorization: Bearer {part}.x"), (3, "token = " + "a" * 200_000 + "1")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {x["doc_id"]: [(c["start"], c["end"]) for c in x["c"]] for x in df.select("doc_id", pii.candidates(F.col("text")).alias("c")).collect()}
+    assert got == {1: [(9, 409)], 2: [(22, 322)], 3: [(8, 200_009)]}
+    spans = {x["doc_id"]: x["spans"] for x in pii.pii(df).collect()}
+    assert spans[1] == "secret:9:409" and spans[2] == "secret:22:322"
