@@ -10,6 +10,8 @@ until a compatible bin is found; only then is a new bin opened. Full bins are cl
 Pieces are dealt into shards of about SHARD pieces by a hash, so a hot source or cluster spreads
 over all shards and a shard stays bounded; a bin never spans shards, and a bin id is
 shard * 2^32 + number. Bitmaps number the sources and clusters of their shard, so they are exact.
+A cluster is a group of near copies where labels are given (op7 has those of similar.groups), else
+the rows of one text.
 
 Defined cases: null text has no words and takes no bin (bin_id null, n_words 0); a null source is
 one source of its own per document, so it conflicts with nothing but the document's other pieces; a
@@ -90,14 +92,19 @@ def word_count(text: str = "text") -> Column:
     return F.size(parts) - (parts[0] == "").cast("int") - ((F.element_at(parts, -1) == "") & (F.size(parts) > 1)).cast("int")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, source: str = "source", cluster: Column | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, source: str = "source", cluster: Column | None = None, labels: DataFrame | None = None) -> DataFrame:
     """(doc_id, piece, n_words, bin_id, bin_offset) of every piece of docs(doc_id, text, source, ...); n_words is the piece's size.
 
-    `cluster` names the duplicate cluster of a row; by default the hash of its text."""
+    `cluster` names the duplicate cluster of a row; by default the hash of its text. labels(doc_id, th, label), as similar.groups()
+    gives them, name it by doc_id and hash of the text instead."""
     h = F.xxhash64("text")
     own = F.concat(F.lit("d"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), h.cast("string"))
     src = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), own) if source in docs.columns else own
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), h.alias("h"), word_count().alias("n"), src.alias("source"), (cluster if cluster is not None else h).cast("string").alias("cluster"))
+    if labels is not None:  # joined without the texts
+        named = labels.select(F.col("doc_id").alias("d"), F.col("th").alias("of_h"), F.col("label").cast("string").alias("label")).dropDuplicates(["d", "of_h"])
+        joined = sized.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("of_h")), "left")
+        sized = joined.withColumn("cluster", F.coalesce("label", "cluster")).drop("d", "of_h", "label")
     pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / capacity).cast("int") - 1, F.lit(0)))))
     pieces = cut(pieces.select("doc_id", "h", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).alias("size"), "source", "cluster"))
     shards = max(1, -(-pieces.count() // shard))

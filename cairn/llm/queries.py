@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, media, packing, pii, quality, simhash, substring, tokens, warc
+from . import decontaminate, lines, media, packing, pii, quality, similar, simhash, substring, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +39,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return packing.pack(docs, labels=similar.groups(docs))
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -487,3 +487,22 @@ def test_pii_long_tokens(spark):
     assert got == {1: [(9, 409)], 2: [(22, 322)], 3: [(8, 200_009)]}
     spans = {x["doc_id"]: x["spans"] for x in pii.pii(df).collect()}
     assert spans[1] == "secret:9:409" and spans[2] == "secret:22:322"
+
+
+def test_packing_near_copies(spark, tmp_path):
+    from cairn.llm import queries
+
+    r = random.Random(4)
+    prose = lambda n: [f"word{r.randrange(500)}" for _ in range(n)]
+    base, data = prose(300), []
+    for i in range(12):
+        w = list(base)
+        w[r.randrange(300)] = f"edit{i}"
+        data.append((i, " ".join(w), f"s{i}"))
+    data += [(20, " ".join(base).upper(), "s20"), (21, "  ".join(base), "s21"), (None, " ".join(base), "s22")]
+    data += [(100 + i, " ".join(prose(200)), f"s{100 + i}") for i in range(12)]
+    spark.createDataFrame(data, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.op7_packing(spark, str(tmp_path)).collect()
+    assert sorted((x["doc_id"] or -1, x["n_words"]) for x in out) == sorted((i or -1, len(t.split())) for i, t, _ in data)
+    copies = [x["bin_id"] for x in out if x["doc_id"] is None or x["doc_id"] < 100]
+    assert len(copies) == 15 and len(set(copies)) == 15
