@@ -1,12 +1,11 @@
-"""Line deduplication by winnowing over line hashes.
+"""Line deduplication by hashes of all windows of lines.
 
 A text is its lines between newline characters. Every line has a hash of its content without
-outer white space. Of each `window` consecutive non-blank lines the least hash is selected, so
-any repeated run of that many lines is guaranteed to share a selected fingerprint. A fingerprint
-travels with the hashes of the window it was selected in; equal windows are joined position to
-position with the earliest one, matches that continue on the lines before and after are one run,
-and of each run that has an earlier twin the lines are deleted. Earlier means a smaller
-(doc_id, hash of the text, position); a run stays where it stands first.
+outer white space. Each window of consecutive non-blank lines has the least of their hashes and a
+hash of the whole; windows equal in both are joined with the earliest one, and the lines of each
+that has an earlier twin are deleted. There is no selection of minima (winnowing): it would save
+rows, but each match would have to be extended line by line to the ends of its run. Earlier means a smaller (doc_id, hash of the text, position); a
+run stays where it stands first.
 
 A window counts only if it has MIN_WORDS words, so that two chance short lines are no passage; with
 a fixed `window`, shorter ones stay. With window=None, as op9 and the pipeline have it, the minimum
@@ -47,7 +46,7 @@ def spans(words: list[int], window: int | None, min_words: int) -> list[tuple[in
     return sorted({(j, k) for j, k in enumerate(stop.tolist()) if k <= n} | {(j, k + 1) for k, j in enumerate(start.tolist()) if j >= 0})
 
 
-def _winnow(window: int | None, min_words: int):
+def _windows(window: int | None, min_words: int):
     """Rows (print, whole, d, h, pos, n): a window's fingerprint, the hash of the whole window, and the window's place among the non-blank lines."""
 
     def run(batches):
@@ -111,7 +110,7 @@ def _rewrite(names: list[str], removed_name: str):
 def removals(docs: DataFrame, window: int | None = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """(d, h, starts): for each document that loses lines, where its repeated windows start among its non-blank lines, and their lengths."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), text_bytes().alias("t"))
-    w = keyed.mapInArrow(_winnow(window, min_words), "print long, whole long, d long, h long, pos int, n int")
+    w = keyed.mapInArrow(_windows(window, min_words), "print long, whole long, d long, h long, pos int, n int")
     place = F.struct(F.coalesce("d", F.lit(-(2**63))).alias("d"), "h", "pos")
     first = w.groupBy("print", "whole").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select(F.col("print").alias("p"), F.col("whole").alias("q"), "first")
     later = w.join(first, (F.col("print") == F.col("p")) & (F.col("whole") == F.col("q"))).where(place > F.col("first"))
