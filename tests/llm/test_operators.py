@@ -506,3 +506,16 @@ def test_packing_near_copies(spark, tmp_path):
     assert sorted((x["doc_id"] or -1, x["n_words"]) for x in out) == sorted((i or -1, len(t.split())) for i, t, _ in data)
     copies = [x["bin_id"] for x in out if x["doc_id"] is None or x["doc_id"] < 100]
     assert len(copies) == 15 and len(set(copies)) == 15
+
+
+def test_media_shots_of_pixels(monkeypatch):
+    r, seen = random.Random(6), []
+    values = [b"", "".join(r.choice("abc de\n") for _ in range(9000)).encode(), r.randbytes(4000)]
+    stored, find = media.encode(values), media.shots
+    monkeypatch.setattr(media, "shots", lambda h: seen.append(h) or find(h))
+    own = [x[2] for x in media.decode(stored)]
+    monkeypatch.setattr(media, "_own", lambda jpeg: None)  # every frame by the general decoder
+    assert [x[2] for x in media.decode(stored)] == own
+    # Equal but for rounding at the halves.
+    half = len(values)
+    assert all(np.abs(a - b).sum() <= 4 for a, b in zip(sorted(seen[:half], key=len), sorted(seen[half:], key=len), strict=True))
