@@ -4,8 +4,8 @@ A text is its lines between newline characters. Every line has a hash of its con
 outer white space. Each window of consecutive non-blank lines has the least of their hashes and a
 hash of the whole; windows equal in both are joined with the earliest one, and the lines of each
 that has an earlier twin are deleted. There is no selection of minima (winnowing): it would save
-rows, but each match would have to be extended line by line to the ends of its run. Earlier means a smaller (doc_id, hash of the text, position); a
-run stays where it stands first.
+rows, but each match would have to be extended line by line to the ends of its run. Earlier means
+a smaller (doc_id, hash of the text, position); a run stays where it stands first.
 
 A window counts only if it has MIN_WORDS words, so that two chance short lines are no passage; with
 a fixed `window`, shorter ones stay. With window=None, as op9 and the pipeline have it, the minimum
