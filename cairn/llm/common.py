@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +17,15 @@ CHUNK_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only a local session, where driver and executors are one process, may do without: it gets a temporary
+    folder. On a cluster an unset folder is an error, since executors share no local disk."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="cairn-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
@@ -58,6 +67,16 @@ def chunks(values: list, limit: int = CHUNK_BYTES):
         yield lo, len(values)
 
 
+def sliced(column: pa.Array, limit: int = CHUNK_BYTES):
+    """Index ranges of consecutive values of a text or binary column, of about `limit` bytes each and one value at least; nothing is copied into Python."""
+    end = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo, done = 0, 0
+    while lo < len(end):
+        hi = max(lo + 1, int(np.searchsorted(end, done + limit, "right")))
+        yield lo, hi
+        lo, done = hi, int(end[hi - 1])
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """The names, made longer until none is a column already (Spark ignores case)."""
     taken, out = {c.lower() for c in columns}, []

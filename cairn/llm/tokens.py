@@ -8,8 +8,9 @@ the whole stream is the sum of the ids before it, taken from one small row per f
 
 Encoding is that of the tokenizers library. Its pre-tokenizer never lets a token cross a single
 space that stands between two visible characters, so texts are encoded by the pieces between such
-spaces, and pieces already seen are remembered (a bounded number, then the older ones are
-forgotten); a text with other white space around a space is encoded as a whole.
+spaces: a chunk's pieces are dictionary-encoded in Arrow, each distinct one is encoded once, those
+met lately are remembered (a bounded number), and ids are gathered by index. A text with other white
+space around a space is encoded as a whole.
 
 Defined cases: null is the empty text, which has only the end id; rows with equal doc_id follow
 each other by text; a null doc_id comes first; other columns are ignored; an empty table gives no
@@ -20,20 +21,19 @@ from __future__ import annotations
 
 import json
 import zlib
-from array import array
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, chunks, cut, shared_path
+from .common import CHUNK_BYTES, cut, shared_path, sliced
 from .storage import new_file, open_dir
 
 SEQUENCE, END_ID = 2048, 0
-#: Words that a Python worker remembers, some 250 bytes each.
-REMEMBERED = 1_800_000
+#: Words of a generation that a Python worker remembers, some 220 bytes each, two generations; and new words that are encoded in one call.
+REMEMBERED, TOGETHER = 500_000, 64
 #: Sequences of a record batch.
 ROWS = 512
 _SCHEMA = "part int, path string, index string, n_docs long, n_tokens long"
@@ -46,7 +46,7 @@ def default_path() -> str:
 
 
 class Encoder:
-    """Ids of whole texts as uint32 arrays."""
+    """Ids of whole texts, a chunk at a time."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         import os
@@ -56,6 +56,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), remembered
+        self.dtype = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         pre = model.get("pre_tokenizer") or {}
@@ -63,11 +64,14 @@ class Encoder:
         self.added = [t["content"] for t in model["added_tokens"]]
         if self.plain:
             self.tokenizer.model._resize_cache(0)
+            # By id, whether the token begins with the byte-level sign of a space: the first token of a word does, no other can.
+            self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
         # Control characters and white space that libraries class differently, scripts without spaces: encoded whole.
         self.odd = regex.compile(r"\s\s|[\x1c-\x1f\x85\xa0\u0590-\u1fff\u2000-\u200a\u2028-\u202f\u205f-\uffff\U00010000-\U0010ffff]").search
-        # Ids of a space and the word. A mark after a word is its own part.
+        # Ids of a space and the word, of the words met lately and before.
         self.words: dict[str, bytes] = {}
-        self.marks = dict(zip(".,;:!?", self._encode(list(".,;:!?")), strict=True)) if self.plain else {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bool:
         """Whether the text must not be cut at its spaces. The quick tests only say yes too often."""
@@ -78,49 +82,79 @@ class Encoder:
         return any(x in text for x in ("  ", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", *self.added))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, fresh: list[str]) -> None:
-        words, marks = self.words, self.marks
-        if len(words) > self.most:
-            self.words = words = dict(islice(words.items(), len(words) // 2, None))
-        need, ended, other = set(), [], []
-        for x in fresh:
-            if x.isalpha():
-                need.add(x)
-            elif x and x[-1] in marks and x[:-1].isalpha():
-                ended.append(x)
-                if x[:-1] not in words:
-                    need.add(x[:-1])
-            else:
-                other.append(x)
-        plain = list(need)
-        words.update(zip(plain, self._encode([" " + x for x in plain]), strict=True))
-        words.update({x: words[x[:-1]] + marks[x[-1]] for x in ended})
-        words.update(zip(other, self._encode([" " + x for x in other]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, without the end id."""
-        if not self.plain:
-            return self._encode(texts)
-        whole = [i for i, t in enumerate(texts) if self._whole(t)]
-        out: list[bytes] = [b""] * len(texts)
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        held = set(whole)
-        rest = [i for i in range(len(texts)) if i not in held]
-        cut_up = [texts[i].split(" ") for i in rest]
-        first = self._encode([p.pop(0) for p in cut_up])
-        fresh = set().union(*cut_up) - self.words.keys() if cut_up else ()
-        if len(self.words) > self.most:  # what is dropped may be needed here
-            fresh = set().union(*cut_up)
-        if fresh:
-            self._learn(list(fresh))
-        get = self.words.__getitem__
-        for i, head, p in zip(rest, first, cut_up, strict=True):
-            out[i] = head + b"".join(map(get, p))
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, fresh: list[str]) -> dict[str, bytes]:
+        """Ids of a space and each word. Words are encoded many at a time and told apart by the tokens that begin with a space."""
+        out, size = {}, self.dtype.itemsize
+        groups = [fresh[i : i + TOGETHER] for i in range(0, len(fresh), TOGETHER)]
+        for words, e in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) != len(words) or at[0]:
+                out.update(zip(words, self._encode([" " + w for w in words]), strict=True))
+                continue
+            raw, ends = ids.tobytes(), [*(at[1:] * size).tolist(), len(ids) * size]
+            lo = 0
+            for w, hi in zip(words, ends, strict=True):
+                out[w] = raw[lo:hi]
+                lo = hi
         return out
 
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of a space and each of the distinct words. At most `most` words are remembered in each of two generations."""
+        if len(self.words) > self.most:
+            self.words, self.older = {}, self.words
+        new, old, missing = self.words, self.older, []
+        for w in words:
+            if w not in new:
+                if w in old:
+                    new[w] = old[w]
+                else:
+                    missing.append(w)
+        new.update(self._learn(missing))
+        return list(map(new.__getitem__, words))
+
+    def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that may be cut at their spaces, one after another, and how many each has."""
+        pieces = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        at = pieces.offsets.to_numpy().astype(np.int64)
+        flat = pieces.flatten().dictionary_encode()
+        code = flat.indices.to_numpy().copy()
+        first = code[at[:-1]]  # the first piece has no space before it
+        heads, which = np.unique(first, return_inverse=True)
+        words = flat.dictionary.to_pylist()
+        code[at[:-1]] = len(words) + which
+        known = self._known(words) + self._encode([words[k] for k in heads.tolist()])
+        size = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
+        table, start = np.frombuffer(b"".join(known), self.dtype), np.cumsum(size) - size
+        n = size[code]
+        ends = np.cumsum(n)
+        place = np.repeat(start[code] - (ends - n), n)
+        place += np.arange(ends[-1])
+        return table[place], np.diff(np.r_[0, ends][at])
+
+    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after another, each with the id `end` after it if given, and how many each has."""
+        whole = [not self.plain or self._whole(t) for t in texts]
+        parts: list[np.ndarray] = [np.zeros(0, self.dtype)] * len(texts)
+        apart = [i for i, w in enumerate(whole) if w]
+        for i, ids in zip(apart, self._encode([texts[i] for i in apart]), strict=True):
+            parts[i] = np.frombuffer(ids, self.dtype)
+        rest = [i for i, w in enumerate(whole) if not w]
+        if rest:
+            ids, n = self._cut([texts[i] for i in rest])
+            if len(rest) == len(texts):
+                out, size = ids, n
+            else:
+                for i, x in zip(rest, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+                    parts[i] = x
+        if len(rest) != len(texts) or not rest:
+            out, size = np.concatenate([np.zeros(0, self.dtype), *parts]), np.array([len(p) for p in parts], np.int64)
+        if end is not None:
+            out, size = np.insert(out, np.cumsum(size), end), size + 1
+        return out, size
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -209,21 +243,18 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str | None = None
         from pyspark import TaskContext
 
         enc, out, index, n_docs, ids, stream = encoder(tokenizer_path), None, None, 0, pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())]), None
-        dtype = np.uint16 if enc.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        end = np.array([end_id], np.uint32).tobytes()
         for b in batches:
-            doc_ids, texts = b.column(0), b.column(1).to_pylist()
-            for lo, hi in chunks(texts, CHUNK_BYTES // 2):
-                encoded = [np.frombuffer(e + end, np.uint32) for e in enc.encode(texts[lo:hi])]
+            doc_ids, texts = b.column(0), b.column(1)
+            for lo, hi in sliced(texts, 2 * CHUNK_BYTES):
+                encoded, sizes = enc.encode(texts.slice(lo, hi - lo).to_pylist(), end_id)
                 if out is None:
-                    out = SequenceWriter(folder, sequence, dtype)
+                    out = SequenceWriter(folder, sequence, enc.dtype)
                     system, index_path = new_file(folder, "index.arrow")
                     stream = system.open_output_stream(index_path, compression=None)
                     index = pa.ipc.new_file(stream, ids)
-                sizes = np.array([len(e) for e in encoded], np.int64)
-                index.write_batch(pa.record_batch([doc_ids.slice(lo, len(encoded)), pa.array(out.total + np.cumsum(sizes) - sizes), pa.array(sizes)], schema=ids))
-                out.add(np.concatenate(encoded))
-                n_docs += len(encoded)
+                index.write_batch(pa.record_batch([doc_ids.slice(lo, hi - lo), pa.array(out.total + np.cumsum(sizes) - sizes), pa.array(sizes)], schema=ids))
+                out.add(encoded)
+                n_docs += hi - lo
         if out is not None:
             out.close()
             index.close()

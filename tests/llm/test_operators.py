@@ -378,8 +378,13 @@ def test_encoder_pieces():
     tk, e = Tokenizer.from_file(tokens.default_path()), tokens.Encoder(tokens.default_path(), remembered=50)
     texts = ["a  b", "x <|endoftext|> y", "foo<|endoftext|>bar baz", " lead", "trail ", "", "don't I'll\n\n x", " ", "日本 語", "a\xa0b c", "it's 12 34!! é’s", " \n", "x, y; z?", "été, à"] + [sentence(90) + R.choice([",", "!", ""]) for _ in range(40)]
     for _ in range(2):
-        for t, ids in zip(texts, e.encode(texts), strict=True):
-            assert np.frombuffer(ids, np.uint32).tolist() == tk.encode(t, add_special_tokens=False).ids, t
+        want = [tk.encode(t, add_special_tokens=False).ids for t in texts]
+        for some in (texts, texts[:1], texts[-9:]):  # with and without texts that are encoded whole
+            ids, n = e.encode(some)
+            have = [want[texts.index(t)] for t in some]
+            assert ids.tolist() == [i for w in have for i in w] and n.tolist() == list(map(len, have))
+            ids, n = e.encode(some, 0)
+            assert ids.tolist() == [i for w in have for i in [*w, 0]] and n.tolist() == [len(w) + 1 for w in have]
 
 
 def test_lines(spark, docs, none):
