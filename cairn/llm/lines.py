@@ -1,35 +1,42 @@
-"""Line deduplication by hashes of all windows of lines.
+"""Line deduplication by winnowing over line hashes.
 
 A text is its lines between newline characters. Every line has a hash of its content without
-outer white space. Each window of consecutive non-blank lines has the least of their hashes and a
-hash of the whole; windows equal in both are joined with the earliest one, and the lines of each
-that has an earlier twin are deleted. There is no selection of minima (winnowing): it would save
-rows, but each match would have to be extended line by line to the ends of its run. Earlier means
-a smaller (doc_id, hash of the text, position); a run stays where it stands first.
+outer white space. Of each window of consecutive non-blank lines the least of their hashes is
+selected (the last of equal ones), and a selected line is one fingerprint, however many windows
+select it: so equal windows have equal fingerprints at equal places, and a repeated window cannot
+be missed. Fingerprints that stand only once in the corpus go no further. The positions of the
+others are joined by fingerprint; from each the match is extended both ways, window by window of
+those that selected it, and a window counts as matched if the hash of all its lines stands earlier
+as well. The lines of matched windows, which overlap into maximal runs, are deleted. Earlier means
+a smaller (doc_id, hash of the text, position); a run stays where it stands first. The extension
+does not follow one chosen partner: a window may be matched with any earlier place, so no run is
+cut short because the earliest place of its fingerprint is another one.
 
 A window counts only if it has MIN_WORDS words, so that two chance short lines are no passage; with
 a fixed `window`, shorter ones stay. With window=None, as op9 and the pipeline have it, the minimum
 holds for a whole run of any number of lines: windows are the shortest runs of MIN_WORDS words from
 each line on and up to each line (at most MIN_WORDS lines, one if it is long enough). Every line of
 a repeated run with that many words lies in such a window inside the run, and a window that stands
-earlier is itself such a run; so exactly the lines of the maximal repeated runs go, with nothing to
-extend. Blank lines go if both neighbours go.
+earlier is itself such a run; so exactly the lines of the maximal repeated runs go. Blank lines go
+if both neighbours go.
 
 Defined cases: null text is empty and loses nothing; a null doc_id sorts first; rows with equal
 doc_id and text are one document, and all keep or lose the same lines; ties within a text go by
-position; other columns are kept as they are; an empty table gives an empty result.
+position; texts are taken whole, in chunks of a bounded size but one text at least; other columns
+are kept as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_bytes, unused
+from .common import cut, sliced, text_bytes, unused, written
 
 WINDOW, MIN_WORDS, REMOVED = 2, 8, "n_lines_removed"
 _WHITE = " \t\n\r\x0b\x0c"
@@ -46,26 +53,40 @@ def spans(words: list[int], window: int | None, min_words: int) -> list[tuple[in
     return sorted({(j, k) for j, k in enumerate(stop.tolist()) if k <= n} | {(j, k + 1) for k, j in enumerate(start.tolist()) if j >= 0})
 
 
-def _windows(window: int | None, min_words: int):
-    """Rows (print, whole, d, h, pos, n): a window's fingerprint, the hash of the whole window, and the window's place among the non-blank lines."""
+def selected(h: list[int], windows: list[tuple[int, int]]) -> dict[int, list[tuple[int, int]]]:
+    """The fingerprints of a text: by the place of a window's least line hash, the windows (start, stop) that select it."""
+    out: dict[int, list[tuple[int, int]]] = {}
+    for j, k in windows:
+        at = min(range(j, k), key=lambda x: (h[x], -x)) if k - j > 1 else j
+        out.setdefault(at, []).append((j, k))
+    return out
+
+
+_PRINTS = "print long, d long, h long, wins array<struct<pos:int,n:int,whole:long>>"
+_WIN = pa.struct([("pos", pa.int32()), ("n", pa.int32()), ("whole", pa.int64())])
+
+
+def _prints(window: int | None, min_words: int):
+    """A row for each selected line: its hash, its text's place, and the windows that selected it with the hash of all their lines."""
 
     def run(batches):
         for b in batches:
-            prints, wholes, owners, places, sizes = [], [], [], [], []
-            for i, text in enumerate(b.column(2).to_pylist()):
-                lines = [x for x in map(bytes.strip, text.split(b"\n")) if x]
-                h = [xxhash.xxh64_intdigest(x) for x in lines]
-                for j, k in spans([len(x.split()) for x in lines], window, min_words):
-                    prints.append(min(h[j:k]))
-                    wholes.append(xxhash.xxh3_64_intdigest(b"\n".join(lines[j:k])))
-                    owners.append(i)
-                    places.append(j)
-                    sizes.append(k - j)
-            at = pa.array(owners, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(np.array(wholes, np.uint64).view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(places, pa.int32()), pa.array(sizes, pa.int32())],
-                names=["print", "whole", "d", "h", "pos", "n"],
-            )
+            for lo, hi in sliced(b.column(2)):
+                prints, owners, ends, start, size, whole = [], [], [0], [], [], []
+                for i, text in enumerate(b.column(2).slice(lo, hi - lo).to_pylist(), lo):
+                    lines = [x for x in map(bytes.strip, text.split(b"\n")) if x]
+                    h = [xxhash.xxh64_intdigest(x) for x in lines]
+                    for at, windows in selected(h, spans([len(x.split()) for x in lines], window, min_words)).items():
+                        for j, k in windows:
+                            start.append(j)
+                            size.append(k - j)
+                            whole.append(xxhash.xxh3_64_intdigest(b"\n".join(lines[j:k])))
+                        prints.append(h[at])
+                        owners.append(i)
+                        ends.append(len(start))
+                at = pa.array(owners, pa.int32())
+                wins = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(np.array(whole, np.uint64).view(np.int64))], fields=list(_WIN))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(prints, np.uint64).view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), wins)], names=["print", "d", "h", "wins"])
 
     return run
 
@@ -91,29 +112,39 @@ def _rewrite(names: list[str], removed_name: str):
     def run(batches):
         for b in batches:
             cols = [b.column(i) for i in range(b.num_columns)]
-            starts = cols.pop().to_pylist()
-            removed = np.zeros(b.num_rows, np.int64)
-            if any(starts):
-                texts = cols[names.index("text")].to_pylist()
-                for i, s in enumerate(starts):
-                    if s:
-                        texts[i], removed[i] = without_runs(texts[i], [(x["pos"], x["n"]) for x in s])
-                cols[names.index("text")] = pa.array(texts, pa.string())
-                if "n_chars" in names:
-                    n = cols[names.index("n_chars")].to_pylist()
-                    cols[names.index("n_chars")] = pa.array([len(t) if s else x for t, s, x in zip(texts, starts, n, strict=True)], pa.int64())
+            starts, at, removed = cols.pop(), names.index("text"), np.zeros(b.num_rows, np.int64)
+            hit = np.flatnonzero(pc.fill_null(pc.list_value_length(starts), 0).to_numpy(zero_copy_only=False)).tolist()
+            if hit:
+                n_chars, lo, parts, sizes = "n_chars" in names, 0, [], []
+                for i in hit:
+                    new, removed[i] = without_runs(cols[at][i].as_py(), [(x["pos"], x["n"]) for x in starts[i].as_py()])
+                    parts += [cols[at].slice(lo, i - lo), pa.array([new], pa.string())]
+                    if n_chars:
+                        k = names.index("n_chars")
+                        sizes += [cols[k].slice(lo, i - lo), pa.array([len(new)], pa.int64())]
+                    lo = i + 1
+                cols[at] = pa.concat_arrays([*parts, cols[at].slice(lo)])
+                if n_chars:
+                    cols[k] = pa.concat_arrays([*sizes, cols[k].slice(lo)])
             yield pa.RecordBatch.from_arrays([*cols, pa.array(removed)], names=[*names, removed_name])
 
     return run
 
 
+def prints(docs: DataFrame, window: int | None = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+    """(print, d, h, wins) of every fingerprint of docs(doc_id, text, ...)."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), text_bytes().alias("t"))
+    return keyed.mapInArrow(_prints(window, min_words), _PRINTS)
+
+
 def removals(docs: DataFrame, window: int | None = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """(d, h, starts): for each document that loses lines, where its repeated windows start among its non-blank lines, and their lengths."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), text_bytes().alias("t"))
-    w = keyed.mapInArrow(_windows(window, min_words), "print long, whole long, d long, h long, pos int, n int")
+    found = written(prints(docs, window, min_words), "line-prints")
+    again = found.groupBy("print").count().where("count > 1").select(F.col("print").alias("p"))
+    joined = cut(found.join(again, F.col("print") == F.col("p"), "left_semi").select("d", "h", F.explode("wins").alias("w")).select("d", "h", "w.*"))
     place = F.struct(F.coalesce("d", F.lit(-(2**63))).alias("d"), "h", "pos")
-    first = w.groupBy("print", "whole").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select(F.col("print").alias("p"), F.col("whole").alias("q"), "first")
-    later = w.join(first, (F.col("print") == F.col("p")) & (F.col("whole") == F.col("q"))).where(place > F.col("first"))
+    first = joined.groupBy("whole").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select(F.col("whole").alias("q"), "first")
+    later = joined.join(first, F.col("whole") == F.col("q")).where(place > F.col("first"))
     return later.groupBy("d", "h").agg(F.sort_array(F.collect_set(F.struct("pos", "n"))).alias("starts"))
 
 
