@@ -8,13 +8,17 @@ scan; the token's place in the window fixes where the window must start (positio
 window must fit in the document (length bound), and the words of that item-sized window are then
 compared one by one.
 
-The benchmark side is broadcast only while its windows number at most BROADCAST_WINDOWS (some
-100 MB); beyond that the words are dealt by token and candidates return to their texts by a join
-on the document. Both ways give the same rows.
+The benchmark side is broadcast only while its windows take at most BROADCAST_BYTES, counted before;
+beyond that the words are counted with map-side combining, those so frequent that few can be (over
+one in HOT_SHARE of all words, hence under HOT_SHARE of them) and no prefix are left out by a
+broadcast of bounded size, the others are dealt by token, and candidates return to their texts by a
+join on the document. Both ways give the same rows.
 
 Defined cases: a null text or item has no words, so no windows and no hits; n_items counts item
-ids, a null item_id is not counted; repeated rows get equal results each; other columns are
-ignored; an empty documents table gives no rows, an empty benchmark no hits.
+ids, a null item_id is not counted; repeated rows get equal results each; of equally rare tokens
+the least hash is the prefix, and the first place of it; texts of any length are taken whole (a
+text's words stand in one array); other columns are ignored; an empty documents table gives no
+rows, an empty benchmark no hits.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, unused
 
-WINDOW, BROADCAST_WINDOWS = 13, 200_000
+WINDOW, BROADCAST_BYTES, HOT_SHARE = 13, 48 << 20, 10_000
 #: What stands between words, in a text whose A-Z are not yet lower case. Listed one by one: Java tests a listed character by one lookup.
 BETWEEN = "[" + "".join(f"\\x{c:02X}" for c in range(0x80) if not chr(c).isalnum()) + "]+"
 
@@ -59,15 +63,20 @@ def _tokens(docs: DataFrame, *kept: str) -> DataFrame:
     return docs.select(*kept, F.posexplode_outer("words").alias("pos", "word")).withColumn("key", F.xxhash64(F.lower("word")))
 
 
-def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, th, start, size, items) of every occurrence; th is a hash of the text, so that rows that share a doc_id stay apart."""
     windows = cut(item_windows(benchmark, window))
-    small = windows.limit(broadcast_windows + 1).count() <= broadcast_windows
-    held = F.broadcast if small else (lambda df: df)
+    # What a row takes in a hashed relation: its strings twice, its ids, and the overhead of its parts.
+    size = F.octet_length("wid") * 3 + F.size("w") * 24 + F.size("items") * 8 + 128
+    small = (windows.agg(F.sum(size)).first()[0] or 0) <= broadcast_bytes
 
     docs = with_words(documents.select("doc_id", F.xxhash64("text").alias("th"), "text"))
     vocabulary = windows.select(F.explode("w").alias("v")).select(F.xxhash64(F.lower("v")).alias("v")).distinct()
-    common = _tokens(docs).join(held(vocabulary), F.col("key") == F.col("v"), "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    if small:
+        common = _tokens(docs).join(F.broadcast(vocabulary), F.col("key") == F.col("v"), "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        counted = cut(_tokens(docs).groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+        common = counted.join(vocabulary, F.col("key") == F.col("v"), "left_semi")
 
     places = windows.select("wid", F.posexplode("w").alias("off", "t")).withColumn("t", F.xxhash64(F.lower("t")))
     ranked = places.join(common, F.col("t") == F.col("key"), "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "t", "off")).alias("least"))
@@ -81,13 +90,16 @@ def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broad
     if small:
         found = _tokens(docs, "doc_id", "th", "words").join(F.broadcast(prefixes), (F.col("key") == F.col("prefix")) & fits & equal)
         return found.select("doc_id", "th", start.alias("start"), "size", "items")
-    near = _tokens(docs, "doc_id", "th").join(prefixes, F.col("key") == F.col("prefix")).where(start >= 0).select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "pos", "off", "wid", "size", "items")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    hot = counted.where(F.col("n") * HOT_SHARE > total).join(prefixes.select("prefix"), F.col("key") == F.col("prefix"), "left_anti").select(F.col("key").alias("hot"))
+    cool = _tokens(docs, "doc_id", "th").join(F.broadcast(hot), F.col("key") == F.col("hot"), "left_anti")
+    near = cool.join(prefixes, F.col("key") == F.col("prefix")).where(start >= 0).select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "pos", "off", "wid", "size", "items")
     return docs.join(near, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("th").eqNullSafe(F.col("h"))).where(fits & equal).select("doc_id", "th", start.alias("start"), "size", "items")
 
 
-def _per_document(documents: DataFrame, benchmark: DataFrame, window: int, broadcast_windows: int) -> DataFrame:
+def _per_document(documents: DataFrame, benchmark: DataFrame, window: int, broadcast_bytes: int) -> DataFrame:
     """(d, h, hit, items, sha) of the documents with hits."""
-    found = hits(documents, benchmark, window, broadcast_windows)
+    found = hits(documents, benchmark, window, broadcast_bytes)
     per_doc = found.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
 
     def cover(acc: Column, x: Column) -> Column:
@@ -104,27 +116,21 @@ def _per_document(documents: DataFrame, benchmark: DataFrame, window: int, broad
     )
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """documents without the contaminated ones; columns as they were."""
-    rows = _decided(documents.select("doc_id", "text"), benchmark, window, broadcast_windows)
+def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """documents without those that hold a window of the benchmark, however small a part of the text it is; columns as they were."""
     d, h, th = unused(documents.columns, "bad_d", "bad_h", "bad_th")
-    bad = rows.where("contaminated").select(F.col("doc_id").alias(d), F.col("th").alias(h))
+    bad = hits(documents.select("doc_id", "text"), benchmark, window, broadcast_bytes).select(F.col("doc_id").alias(d), F.col("th").alias(h)).distinct()
     keyed = documents.withColumn(th, F.xxhash64("text"))
     return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col(d)) & F.col(th).eqNullSafe(F.col(h)), "left_anti").drop(th)
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of documents(doc_id, text, ...)."""
-    return _decided(documents, benchmark, window, broadcast_windows).drop("th")
-
-
-def _decided(documents: DataFrame, benchmark: DataFrame, window: int, broadcast_windows: int) -> DataFrame:
-    per_doc = _per_document(documents, benchmark, window, broadcast_windows)
+    per_doc = _per_document(documents, benchmark, window, broadcast_bytes)
     all_docs = with_words(documents.select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("th"), word_count().cast("long").alias("n_words"))
     n_hit = F.coalesce("hit", F.lit(0)).cast("long")
     return all_docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("th").eqNullSafe(F.col("h")), "left").select(
         "doc_id",
-        "th",
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce("items", F.lit(0)).cast("long").alias("n_items"),

@@ -209,7 +209,7 @@ def low(t):
     return text_of(t).lower().decode()  # bytes: A-Z only
 
 
-@pytest.mark.parametrize("broadcast", [200_000, 0])
+@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST_BYTES, 0])
 def test_decontaminate(spark, docs, none, broadcast):
     items = [(1, PASSAGE), (2, "gamma, DELTA"), (3, None), (4, "---"), (None, sentence(14)), (5, " ".join(BASE.split()[50:80])), (5, "x1"), (10, PASSAGE)]
     bench = spark.createDataFrame([(i, t, "clash") for i, t in items], "item_id long, text string, words string")
@@ -231,11 +231,12 @@ def test_decontaminate(spark, docs, none, broadcast):
                     hit |= set(range(k, k + n))
                     ids |= {str(j) for j in wins[x] if j is not None}
         want[i, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)] += 1
-    assert rows(decontaminate.decontaminate(docs, bench, broadcast_windows=broadcast)) == want
+    assert rows(decontaminate.decontaminate(docs, bench, broadcast_bytes=broadcast)) == want
     assert decontaminate.decontaminate(none, bench).count() == 0
     assert decontaminate.decontaminate(docs, bench.where("false")).agg(F.sum("n_hit")).first()[0] == 0
-    kept = decontaminate.clean(docs, bench)
-    assert kept.columns == docs.columns and kept.count() == sum(n for k, n in want.items() if not k[-1])
+    kept = decontaminate.clean(docs, bench, broadcast_bytes=broadcast)
+    assert kept.columns == docs.columns and kept.count() == sum(n for k, n in want.items() if not k[2])
+    assert any(k[2] and not k[-1] for k in want)  # a document with little benchmark text goes too
 
 
 def test_warc(spark, tmp_path):
@@ -434,6 +435,15 @@ def test_quality(spark, docs, none):
     assert {x["doc_id"]: x["score"] for x in quality.quality(d, flipped).collect()} == {k: x["score"] for k, x in got.items()}
 
 
+def test_lines_winnowing(spark):
+    data = [(i, "\n".join(" ".join(R.choice(VOCAB) for _ in range(3)) for _ in range(40))) for i in range(30)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    found = lines.prints(df, None).collect()
+    windows = sum(len(lines.spans([len(x.split()) for x in t.split("\n")], None, 8)) for _, t in data)
+    assert sum(len(r["wins"]) for r in found) == windows and len(found) < 0.6 * 30 * 40 < windows  # fewer fingerprints than lines
+    assert lines.selected([5, 1, 9, 1, 7], [(0, 3), (1, 4), (2, 5)]) == {1: [(0, 3)], 3: [(1, 4), (2, 5)]}
+
+
 def test_lines_single(spark):
     a, b = "one line of eight words that stands twice", "one short line stands here"
     data = [(1, f"x\n{a}\ny"), (2, f"p\n{a}\nq"), (3, a), (4, b), (5, b), (6, f"{a}\n{b}")]
