@@ -2,39 +2,55 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import SparkSession
 
 
 class LogFiles:
     def __init__(self, spark: SparkSession, folder: str):
-        self.jvm = spark._jvm
+        self.jvm, self.gateway, self.conf = spark._jvm, spark.sparkContext._gateway, spark._jsc.hadoopConfiguration()
         self.path = self.jvm.org.apache.hadoop.fs.Path(folder)
-        self.fs = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.fs = self.path.getFileSystem(self.conf)
         self.fs.mkdirs(self.path)
 
     def _at(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(self.path, name)
 
     def create(self, name: str, text: str) -> bool:
-        """Writes a new file; False if the name is taken. Written aside and renamed, so that no reader sees half of it."""
+        """Writes a new file whole; False if the name is taken.
+
+        Written aside under a hidden name, then moved by an operation that never overwrites. That move is the only commit
+        point: a writer that dies before it leaves a file that nobody reads and that stands in nobody's way."""
         if self.fs.exists(self._at(name)):
             return False
-        import uuid
-
         aside = self._at(f".{name}.{uuid.uuid4().hex}")
         out = self.fs.create(aside, False)
         out.write(bytearray(text.encode()))
         out.close()
-        taken = self._at(name)
-        lock = self._at(f".{name}.lock")
         try:
-            ours = self.fs.createNewFile(lock)  # the linearisation point
-        except Exception:
-            ours = False
-        done = bool(ours) and bool(self.fs.rename(aside, taken))
-        if not done:
+            return self._moved(aside, self._at(name), self.fs.getScheme() == "file")
+        finally:
             self.fs.delete(aside, False)
-        return done
+
+    def _moved(self, source, target, local: bool) -> bool:
+        if local:  # a hard link fails if the name is there
+            try:
+                os.link(*(self.fs.makeQualified(p).toUri().getPath() for p in (source, target)))
+            except FileExistsError:
+                return False
+            return True
+        rename = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.gateway.new_array(rename, 1)
+        how[0] = rename.NONE  # no overwriting
+        try:
+            self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path.toUri(), self.conf).rename(self.fs.makeQualified(source), self.fs.makeQualified(target), how)
+        except Exception:
+            if self.fs.exists(target):
+                return False
+            raise
+        return True
 
     def names(self) -> list[str]:
         return sorted(n for s in self.fs.listStatus(self.path) if not (n := s.getPath().getName()).startswith("."))

@@ -1,13 +1,16 @@
 """A change-log table store on Parquet: atomic commits over many tables, snapshots by commit, constraints, assertions.
 
 Layout: `root/log/{seq:020d}.json` names the files of a commit (that file's exclusive creation is the
-commit), `root/data/...` holds them: table columns by id, `_seq` and `_op`. Readers see files of
-commits up to theirs only; files of lost attempts are never named. Every mutation is lowered to
-DataFrames, so a bulk upsert of any size takes the same path as one row.
+commit), `root/data/...` holds them: table columns by id, `_seq` and `_op`. Whole snapshots stand
+apart, in `root/checkpoint/...`, rewritten events in `root/compacted/...` and async indexes in
+`root/projection/...`. Readers see files of commits up to theirs only; files of lost attempts are
+never named. Every mutation is lowered to DataFrames, so a bulk upsert of any size takes the same
+path as one row.
 """
 
 from __future__ import annotations
 
+import decimal
 import hashlib
 import json
 import time
@@ -49,7 +52,8 @@ class Engine:
     """Opens or makes a store under a folder that driver and executors share."""
 
     def __init__(self, spark: SparkSession, root: str, checkpoint_every: int = 0):
-        self.spark, self.root = spark, root.rstrip("/")
+        """checkpoint_every: a checkpoint is made when so many commits have been added since the last; 0 makes none."""
+        self.spark, self.root, self.checkpoint_every = spark, root.rstrip("/"), checkpoint_every
         self.log = LogFiles(spark, f"{self.root}/log")
         self.entries: list[dict] = []
         self._catalogs: dict[int, dict] = {0: C.empty()}
@@ -114,15 +118,17 @@ class Engine:
         """The commit that made the table last: a dropped table's rows do not come back."""
         return max([e["seq"] - 1 for e in self.entries[:seq] for op in e["ddl"] if op["op"] == "create_table" and op["table"] == table], default=0)
 
+    def _since_checkpoint(self, table: str, seq: int) -> DataFrame:
+        """Changes that make up the table at a commit: those of its last checkpoint, as one change per row, and later ones."""
+        base, made = self._base(table, seq), self._created(table, seq)
+        if base <= made:
+            return self.change_log(table, seq, made)
+        stored, names = self._stored(table, seq)
+        done = self.spark.read.schema(stored).parquet(*[f"{self.root}/{p}" for p in self.entries[base - 1]["checkpoints"][table]])
+        return done.select(*(F.col(a).alias(b) for a, b in names), "_seq", "_op").union(self.change_log(table, seq, base))
+
     def table_at(self, table: str, seq: int) -> DataFrame:
-        base = self._base(table, seq)
-        start = max(self._created(table, seq), base - 1 if base else 0)
-        if base and base - 1 >= start:  # a checkpoint holds everything up to its commit
-            stored, names = self._stored(table, seq)
-            done = self.spark.read.schema(stored).parquet(*[f"{self.root}/{p}" for p in self.entries[base - 1]["checkpoints"][table]]).select(*(F.col(a).alias(b) for a, b in names), "_seq", "_op")
-            log = done.union(self.change_log(table, seq, base))
-        else:
-            log = self.change_log(table, seq, start)
+        log = self._since_checkpoint(table, seq)
         out = changelog.snapshot(log, self._key(table, seq))
         if table == KV_TABLE:
             return out
@@ -184,6 +190,7 @@ class Engine:
             if work.publish({"key": key, "print": print_} if key else None):
                 for h in self.hooks:
                     h(self.entries[-1])
+                self._keep_up()
                 return CommitResult(base + 1)
         raise Conflict("other commits came first every time")
 
@@ -229,13 +236,45 @@ class Engine:
             self.commit(*({"kind": "ddl", "op": o} for o in [*m.get("down", []), {"op": "forget_migration", "version": m["version"]}]))
         return [m["version"] for m in back]
 
-    def backfill(self, table: str, transform, batch: int | None = None, caller: str | None = None) -> CommitResult:
-        """Rewrites a table's rows by a DataFrame function."""
-        return self.commit({"kind": "upsert", "table": C.full_name(table), "rows": transform(self.view().table(table))}, caller=caller)
+    def backfill(self, table: str, transform, batch: int | None = None, name: str | None = None, caller: str | None = None) -> list[CommitResult]:
+        """Rewrites a table's rows by a DataFrame function, in key order, `batch` rows a commit (None: all in one).
+
+        With a name, each commit also records the last key done, so a run that was broken off goes on where it stopped,
+        and a finished one does nothing more."""
+        full, out = C.full_name(table), []
+        key, mark = self._key(full, self.refresh()), b"backfill\0" + name.encode() if name else None
+        raw = self.view().kv_get(mark, "_system/app") if mark else None
+        done = json.loads(raw) if raw else {"after": None, "over": False}
+        while not done["over"]:
+            rows = self.view().table(full)
+            if done["after"] is not None:
+                rows = rows.where(_after([F.col(k) for k in key], [_from_json(v) for v in done["after"]]))
+            last = None
+            if batch is not None:
+                rows = rows.orderBy(*key).limit(batch)
+                ends = rows.select(*key).collect()  # at most `batch` keys
+                last = max((tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in ends), default=None)
+            over = batch is None or last is None or len(ends) < batch
+            done = {"after": [_to_json(v) for v in last] if last is not None else done["after"], "over": over}
+            some = batch is None or last is not None
+            changes = [{"kind": "upsert", "table": full, "rows": transform(rows)}] if some else []
+            if mark:
+                changes.append({"kind": "kv_set", "ns": "_system/app", "key": mark, "value": json.dumps(done).encode()})
+            if changes:
+                out.append(self.commit(*changes, caller=caller))
+        return out
 
     # --- upkeep -------------------------------------------------------------------------------------
-    def write(self, df: DataFrame, table: str) -> list[str]:
-        path = f"data/{table}/{uuid.uuid4().hex}"
+    def _keep_up(self) -> None:
+        last = max([e["seq"] for e in self.entries if e["checkpoints"]], default=0)
+        if self.checkpoint_every and len(self.entries) - last >= self.checkpoint_every:
+            try:
+                self.checkpoint()
+            except Conflict:  # another writer was first, and will make one
+                pass
+
+    def write(self, df: DataFrame, table: str, kind: str = "data") -> list[str]:
+        path = f"{kind}/{table}/{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{path}")
         return [path]
 
@@ -254,13 +293,13 @@ class Engine:
                 names = self._stored(table, seq)[1]
                 stamped = changelog.snapshot(self._versions(table, seq), self._key(table, seq))
                 rows = stamped.select(*(F.col(b).alias(a) for a, b in names), F.col("_version").alias("_seq"), F.lit("U").alias("_op"))
-                made[table] = self.write(rows, table)
+                made[table] = self.write(rows, table, "checkpoint")
         if not self.publish({"checkpoints": made}):
             raise Conflict("another commit came first")
         return len(self.entries)
 
     def _versions(self, table: str, seq: int) -> DataFrame:
-        return self.change_log(table, seq, self._created(table, seq)).withColumn("_version", F.col("_seq"))
+        return self._since_checkpoint(table, seq).withColumn("_version", F.col("_seq"))
 
     def compact_events(self, policy: eventlog.Retention, now_micros: int | None = None, floor: int | None = None) -> int:
         """Drops the oldest events that the policy lets go; returns how many."""
@@ -268,7 +307,7 @@ class Engine:
         now = now_micros if now_micros is not None else int(time.time() * 1e6)
         kept, gone = eventlog.compact(self.events(), policy, now, floor)
         n = gone.count()
-        if n and not self.publish({"events_rewritten": self.write(kept, EVENTS)}):
+        if n and not self.publish({"events_rewritten": self.write(kept, EVENTS, "compacted")}):
             raise Conflict("another commit came first")
         return n
 
@@ -280,16 +319,19 @@ class Engine:
             raise IndexNotFound(f"async index {index} not found")
         key = self._key(table, seq)
         wanted = list(dict.fromkeys([*key, *spec["columns"]]))
+        partial = E.from_json(spec["partial"]) if spec.get("partial") else None
+        held = lambda df: df if partial is None else df.where(E.compile_predicate(partial, F.col))
         last = next((e for e in reversed(self.entries) if name in e.get("projections", {})), None)
-        fresh = self.view(seq).table(table).select(*wanted)
+        fresh = held(self.view(seq).table(table)).select(*wanted)
         if last is not None:
             done = last["projections"][name]
             moved = self.change_log(table, seq, done["seq"])
             old = self.spark.read.parquet(*[f"{self.root}/{p}" for p in done["files"]])
-            new = moved.groupBy(*key).agg(F.max_by(F.struct("_op", *[c for c in wanted if c not in key]), "_seq").alias("v"))
-            live = new.where("v._op = 'U'").select(*(F.col(c) if c in key else F.col(f"v.{c}").alias(c) for c in wanted))
-            fresh = old.join(new.select(*key), key, "left_anti").unionByName(live)
-        self.publish({"projections": {name: {"seq": seq, "files": self.write(fresh, name.replace("#", "."))}}})
+            rest = list(dict.fromkeys([*wanted, *(E.columns_of(partial) if partial is not None else ())]))
+            new = moved.groupBy(*key).agg(F.max_by(F.struct("_op", *[c for c in rest if c not in key]), "_seq").alias("v"))
+            live = new.where("v._op = 'U'").select(*(F.col(c) if c in key else F.col(f"v.{c}").alias(c) for c in rest))
+            fresh = old.join(new.select(*key), key, "left_anti").unionByName(held(live).select(*wanted))
+        self.publish({"projections": {name: {"seq": seq, "files": self.write(fresh, name.replace("#", "."), "projection")}}})
         return seq
 
     def projection(self, table: str, index: str, seq: int) -> tuple[DataFrame, int]:
@@ -477,8 +519,6 @@ class Work:
         for r in rows:
             r = {**t["defaults"], **r}
             out.append(tuple(check_value(c, r.get(c.name)) for c in cols))
-        import decimal
-
         plain = [tuple(decimal.Decimal(v) if c.type == "u64" and v is not None else v for c, v in zip(cols, row, strict=True)) for row in out]
         return self.engine.spark.createDataFrame(plain, T.StructType([T.StructField(c.name, SPARK[c.type]) for c in cols]))
 
@@ -829,6 +869,22 @@ def _all(parts):
     return out
 
 
+def _after(columns: list, values: list):
+    """Rows whose key comes after `values`."""
+    out, same = F.lit(False), F.lit(True)
+    for c, v in zip(columns, values, strict=True):
+        out, same = out | (same & (c > F.lit(v))), same & (c == F.lit(v))
+    return out
+
+
+def _to_json(v):
+    return {"b": v.hex()} if isinstance(v, bytes) else {"d": str(v)} if isinstance(v, decimal.Decimal) else v
+
+
+def _from_json(v):
+    return (bytes.fromhex(v["b"]) if "b" in v else decimal.Decimal(v["d"])) if isinstance(v, dict) else v
+
+
 def _update(u, column, columns):
     """value, ("copy", column), ("add", n) or ("coalesce", value), of a row in progress."""
     if isinstance(u, tuple):

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from cairn.operators import eventlog
@@ -131,17 +132,59 @@ def enforce(processors: list[Processor]) -> None:
         raise ValidationError(f"behind: {', '.join(s['processor'] for s in bad)}")
 
 
+def _file_system(uri: str):
+    from pyarrow import fs
+
+    if "://" not in uri and not uri.startswith("file:"):
+        return fs.LocalFileSystem(), uri
+    return (fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")) if uri.startswith("file:") else fs.FileSystem.from_uri(uri)
+
+
+def _committed(engine: Engine, table: str, schema: T.StructType) -> DataFrame:
+    """The rows that commits added to a table, as a stream of the log itself.
+
+    The log's entries are the stream's files: each appears once and whole, and names the data files of its commit. Data files
+    of lost attempts, checkpoints and compacted events are named by no entry's `files`, so they are never read. Reading is
+    dealt by file, so a large commit spreads over many tasks."""
+    spark, root = engine.spark, engine.root
+    folders = T.MapType(T.StringType(), T.ArrayType(T.StringType()))
+    log = spark.readStream.schema("value string").option("wholetext", "true").option("pathGlobFilter", "*.json").text(f"{root}/log")
+    named = log.select(F.explode(F.from_json("value", T.StructType([T.StructField("files", folders)]))["files"][table]).alias("folder"))
+
+    def parts(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for b in batches:
+            found = []
+            for folder in b.column(0).to_pylist():
+                system, path = _file_system(f"{root}/{folder}")
+                found += [x.path for x in system.get_file_info(fs.FileSelector(path)) if x.is_file and not x.base_name.startswith(("_", "."))]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["path"])
+
+    def read(batches):
+        import pyarrow.dataset as ds
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        system, wanted = _file_system(root)[0], to_arrow_schema(schema)
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                yield from ds.dataset(path, schema=wanted, format="parquet", filesystem=system).to_batches()
+
+    return named.mapInArrow(parts, "path string").repartition("path").mapInArrow(read, schema)
+
+
 def stream_events(engine: Engine, topic: str | None = None) -> DataFrame:
     """The event log as a stream; each commit is one set of files."""
-    df = engine.spark.readStream.schema(_EVENT).option("recursiveFileLookup", "true").parquet(f"{engine.root}/data/{EVENTS}")
+    df = _committed(engine, EVENTS, _EVENT)
     return df if topic is None else df.where(F.col("topic") == topic)
 
 
 def stream_changes(engine: Engine, table: str) -> DataFrame:
-    """A table's changes as a stream, with _seq and _op. Files of attempts that lost their commit are dropped downstream by _seq and log."""
+    """A table's changes as a stream, each once, with _seq and _op."""
     full = full_name(table)
     t = engine.catalog(engine.refresh())["tables"][full]
-    df = engine.spark.readStream.schema(stored_schema(t)).option("recursiveFileLookup", "true").parquet(f"{engine.root}/data/{full}")
+    df = _committed(engine, full, stored_schema(t))
     return df.select(*(F.col(f"c{c['id']}").alias(c["name"]) for c in t["columns"]), "_seq", "_op")
 
 

@@ -192,3 +192,52 @@ def test_two_writers(engine, spark):
     engine.commit({"kind": "kv_set", "key": b"a", "value": b"1"})
     assert other.commit({"kind": "kv_set", "key": b"b", "value": b"2"}).seq == 4 and engine.view().kv_get(b"b") == b"2"
     assert not engine.log.create(f"{4:020d}.json", "{}")
+
+
+def test_a_crash_blocks_nobody(engine):
+    for left in (f".{3:020d}.json.lock", f".{3:020d}.json.0123"):  # what a writer that died may leave
+        engine.log.fs.createNewFile(engine.log._at(left))
+    assert engine.commit({"kind": "kv_set", "key": b"a", "value": b"1"}).seq == 3 and engine.head == 3
+    aside = engine.log._at(".aside")
+    engine.log.fs.createNewFile(aside)  # file systems without hard links
+    assert not engine.log._moved(aside, engine.log._at(f"{3:020d}.json"), local=False) and engine.log._moved(aside, engine.log._at("x"), local=False)
+
+
+def test_checkpoints_build_on_the_last(engine):
+    e = Engine(engine.spark, engine.root, checkpoint_every=3)
+    for i in range(4, 8):
+        e.commit({"kind": "upsert", "table": "acc", "rows": [{"id": i, "bal": i}]}, {"kind": "delete", "table": "acc", "keys": [(i - 1,)]})
+    made = [x["seq"] for x in e.entries if x["checkpoints"]]
+    assert len(made) == 2 and rows(e) == [(1, 10, "a"), (2, 20, "b"), (7, 7, None)]
+    e.log.fs.delete(e.log.jvm.org.apache.hadoop.fs.Path(f"{e.root}/data"), True)  # the last checkpoint needs no data before it
+    assert made[-1] == len(e.entries) and rows(e) == [(1, 10, "a"), (2, 20, "b"), (7, 7, None)]
+    assert e.checkpoint() and rows(e) == [(1, 10, "a"), (2, 20, "b"), (7, 7, None)]
+
+
+def test_partial_projection(engine):
+    engine.ddl({"op": "create_async_index", "table": "main/app/acc", "index": "rich", "columns": ["bal"], "partial": E.to_json(col("bal").gte(20) & ~col("who").is_null())})
+    held = lambda: sorted(tuple(r) for r in engine.view().query(Query.select().from_("acc").use_index("rich")).collect())
+    engine.refresh_projection("main/app/acc", "rich")
+    assert held() == [(2, 20)]
+    engine.commit({"kind": "upsert", "table": "acc", "rows": [{"id": 1, "bal": 99, "who": "a"}, {"id": 2, "bal": 1, "who": "b"}, {"id": 3, "bal": 50}]})
+    engine.refresh_projection("main/app/acc", "rich")
+    assert held() == [(1, 99)]
+
+
+def test_backfill_in_batches(engine):
+    sizes = []
+
+    def double(df):
+        sizes.append(df.count())
+        if len(sizes) == 2 and not again:
+            raise RuntimeError("broken off")
+        return df.withColumn("bal", F.col("bal") * 2)
+
+    again = False
+    with pytest.raises(RuntimeError):
+        engine.backfill("acc", double, batch=2, name="twice")
+    assert rows(engine) == [(1, 20, "a"), (2, 40, "b"), (3, 30, None)]
+    again = True
+    assert len(engine.backfill("acc", double, batch=2, name="twice")) == 1 and rows(engine) == [(1, 20, "a"), (2, 40, "b"), (3, 60, None)]
+    assert engine.backfill("acc", double, batch=2, name="twice") == [] and sizes == [2, 1, 1]
+    assert len(engine.backfill("acc", double)) == 1 and rows(engine)[0] == (1, 40, "a")

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from cairn.functions.expr import col
-from cairn.operators import tasks
+from cairn.operators import eventlog, tasks
 from cairn.plans import errors
 from cairn.sources.store import Engine
 from cairn.streaming import processors as P
@@ -117,3 +117,24 @@ def test_streams(engine, tmp_path):
     P.materialise_latest(P.stream_changes(engine, "jobs"), ["id"], str(tmp_path / "v"), str(tmp_path / "c2")).awaitTermination(60)
     latest = {r["id"]: r["n"] for r in engine.spark.read.parquet(str(tmp_path / "v" / "v0")).collect()}
     assert latest == {1: 5, 2: 0}
+
+
+def test_streams_give_each_change_once(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"))
+    e.ddl({"op": "create_table", "table": "main/app/t", "columns": [{"name": "id", "type": "integer"}, {"name": "b", "type": "blob"}, {"name": "u", "type": "u64"}], "primary_key": ["id"]})
+    for i in range(3):
+        e.commit({"kind": "insert", "table": "t", "rows": [{"id": i, "b": b"x", "u": 2**64 - 1}]}, {"kind": "emit", "topic": "t", "key": str(i), "payload": {}})
+    got, keys = [], []
+    take = lambda: P.for_each_batch(P.stream_changes(e, "t"), lambda b, n: got.extend(map(tuple, b.collect())), str(tmp_path / "c")).awaitTermination(60)
+    hear = lambda: P.for_each_batch(P.stream_events(e), lambda b, n: keys.extend(r["event_key"] for r in b.collect()), str(tmp_path / "c2")).awaitTermination(60)
+    take()
+    hear()
+    e.write(spark.createDataFrame([(9, None, None, 9, "U")], "c0 long, c1 binary, c2 decimal(20,0), _seq long, _op string"), "main/app/t")  # a lost attempt
+    e.commit({"kind": "upsert", "table": "t", "rows": [{"id": 1, "b": None, "u": None}]})
+    e.checkpoint()
+    e.compact_events(eventlog.Retention(keep_last=1))
+    e.commit({"kind": "emit", "topic": "t", "key": "last", "payload": {}})
+    take()
+    hear()
+    assert sorted((r[0], r[3], r[4]) for r in got) == [(0, 2, "U"), (1, 3, "U"), (1, 5, "U"), (2, 4, "U")] and sorted(keys) == ["0", "1", "2", "last"]
+    assert int(got[0][2]) == 2**64 - 1 and bytes(got[0][1]) == b"x"
