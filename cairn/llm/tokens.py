@@ -28,12 +28,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, cut, shared_path, sliced
+from .common import cut, shared_path, sliced
 from .storage import new_file, open_dir
 
 SEQUENCE, END_ID = 2048, 0
 #: Words of a generation that a Python worker remembers, some 220 bytes each, two generations; and new words that are encoded in one call.
-REMEMBERED, TOGETHER = 500_000, 64
+REMEMBERED, TOGETHER = 300_000, 64
 #: Sequences of a record batch.
 ROWS = 512
 _SCHEMA = "part int, path string, index string, n_docs long, n_tokens long"
@@ -245,7 +245,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str | None = None
         enc, out, index, n_docs, ids, stream = encoder(tokenizer_path), None, None, 0, pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())]), None
         for b in batches:
             doc_ids, texts = b.column(0), b.column(1)
-            for lo, hi in sliced(texts, 2 * CHUNK_BYTES):
+            for lo, hi in sliced(texts):
                 encoded, sizes = enc.encode(texts.slice(lo, hi - lo).to_pylist(), end_id)
                 if out is None:
                     out = SequenceWriter(folder, sequence, enc.dtype)
