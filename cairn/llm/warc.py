@@ -4,9 +4,11 @@ Writing: of pages with equal payloads the one with the largest page_id becomes a
 the others revisit records that name it. Each record is a gzip member with the public "sl"
 (skip-lengths) extra field: its compressed and uncompressed length.
 
-Reading: files are cut into byte ranges. A task finds every place in its range that looks like the
-start of a record and says where that record would end (candidate -> successor). Magic bytes may
-stand inside a payload, so a candidate proves nothing. Inside a range the task follows its own
+Reading: files are cut into byte ranges of RANGE, so that records cross them and a file's ranges are
+read by many tasks. A task finds every place in its range that looks like the start of a record and
+says where that record would end (candidate -> successor): from the "sl" field, else by inflating
+the member, and in files that are not compressed from the record's own Content-Length. Magic bytes
+may stand inside a payload, so a candidate proves nothing. Inside a range the task follows its own
 pointers to where each candidate leaves the range; across ranges pointers are jumped in doubling
 steps from the start of each file, and only candidates so reached are records. A second pass walks
 each range from its proven entry and checks lengths, CRCs and digests as it reads.
@@ -14,15 +16,19 @@ each range from its proven entry and checks lengths, CRCs and digests as it read
 Defined cases: null html is an empty payload (which counts as a payload like any other); a null
 page_id is a response only if its payload has no page with an id, and is named by no revisit;
 rows equal in page_id and payload are each written, the first of them (all equal) as response and
-the rest as revisits of the same id; other columns but url are ignored; no pages, no files.
+the rest as revisits of the same id; control characters and blanks of a url are percent-encoded, so
+a url can neither end a header nor add one; a payload of any content is written whole, and the
+largest must fit in a task's memory; other columns but url are ignored; no pages, no files.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import zlib
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,9 +37,13 @@ from pyspark.sql import functions as F
 from .common import cut, shared_path, text_bytes
 from .storage import new_file, open_dir
 
-RANGE, FILE_BYTES, LEVEL = 32 << 20, 64 << 20, 1
+RANGE, FILE_BYTES, LEVEL = 1 << 20, 64 << 20, 1
+#: Ranges that a task reads, where there are more than the cluster has cores.
+TASK_RANGES, BLOCK = 32, 1 << 16
 #: gzip member with an extra field of one "sl" subfield of eight bytes: fixed values of the public formats.
 MAGIC = b"\x1f\x8b\x08\x04"
+GZIP, PLAIN = MAGIC[:3], b"WARC/"
+_ODD = re.compile("[\x00-\x20\x7f-\x9f\u2028\u2029]")
 _HEAD = struct.Struct("<4sIBBH2sHII")
 _SUBFIELD = b"sl"
 
@@ -49,6 +59,7 @@ def record(kind: str, url: str, page: str, digest: str, payload: bytes, refers:
     """A response or revisit record with its two trailing line ends; a revisit carries no payload but its length and digest."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + payload if kind == "response" else http
+    url = _ODD.sub(lambda m: quote(m.group()), url)
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
@@ -65,22 +76,25 @@ def record(kind: str, url: str, page: str, digest: str, payload: bytes, refers:
 
 
 def parse(data: bytes) -> dict:
-    """Headers of a whole record, and its payload length and digest, computed for a response and declared for a revisit."""
+    """Headers of a whole record in lower case, with its payload's length and digest: computed, but for a revisit, which declares them.
+
+    The payload is what follows the HTTP header of an HTTP record, and the whole block of any other."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
     h = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
     block = rest[: int(h["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    digest = h["warc-payload-digest"].partition(":")[2]
-    if h["warc-type"] == "response":
-        if base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode() != digest:
-            raise ValueError("payload digest differs")
-        h["payload_bytes"] = len(payload)
+    http, _, payload = block.partition(b"\r\n\r\n") if "http" in h.get("content-type", "") else (b"", b"", block)
+    declared = h.get("warc-payload-digest", "")
+    if h.get("warc-type") == "revisit":
+        size = next((x.partition(b":")[2] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), b"")
+        h["payload_bytes"] = int(size) if size.strip().isdigit() else None
+        h["payload_digest"] = declared.partition(":")[2]
     else:
-        h["payload_bytes"] = next(int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    h["payload_digest"] = digest
+        h["payload_bytes"] = len(payload)
+        h["payload_digest"] = base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
+    h["digest_ok"] = not declared.startswith("sha1:") or declared.partition(":")[2] == h["payload_digest"]
     return h
 
 
@@ -131,39 +145,94 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     return cut(out.mapInArrow(run, "path string, size long"))
 
 
-def _read(system, path: str, lo: int, hi: int) -> bytes:
-    with system.open_input_file(path) as f:
-        f.seek(lo)
-        return f.read(max(0, hi - lo))
-
-
-def _candidates(data: bytes, limit: int) -> list[tuple[int, int]]:
-    """(place, size) wherever a member seems to start before `limit`."""
-    out, at = [], data.find(MAGIC)
-    while 0 <= at < limit:
-        if at + _HEAD.size <= len(data):
-            _, _, _, _, extra, sub, n, size, _ = _HEAD.unpack_from(data, at)
-            if extra == 12 and sub == _SUBFIELD and n == 8 and size > _HEAD.size + 8:
-                out.append((at, size))
-        at = data.find(MAGIC, at + 1)
+def _skip_length(head: bytes) -> int | None:
+    """The whole length of a gzip member from its "sl" field, if it has one."""
+    if len(head) < 12 or not head[3] & 4:
+        return None
+    at, end = 12, 12 + struct.unpack_from("<H", head, 10)[0]
+    while at + 4 <= min(end, len(head)):
+        n = struct.unpack_from("<H", head, at + 2)[0]
+        if head[at : at + 2] == _SUBFIELD and n == 8 and at + 8 <= len(head):
+            return struct.unpack_from("<I", head, at + 4)[0]
+        at += 4 + n
+    return None
+
+
+def _inflated(f, at: int) -> tuple[bytes, int] | None:
+    """(content, length) of the gzip member at a place, its CRC checked; None if there is none."""
+    f.seek(at)
+    z, out, n = zlib.decompressobj(31), [], 0
+    try:
+        while not z.eof:
+            block = f.read(BLOCK)
+            if not block:
+                return None
+            n += len(block)
+            out.append(z.decompress(block))
+            if len(out) == 1 and out[0] and not out[0].startswith(PLAIN[: len(out[0])]):
+                return None
+    except zlib.error:
+        return None
+    return b"".join(out), n - len(z.unused_data)
+
+
+def _plain_length(f, at: int) -> int | None:
+    """The whole length of an uncompressed record at a place; None if no record's header stands there."""
+    size = 1 << 12
+    while True:
+        f.seek(at)
+        data = f.read(size)
+        head, end, _ = data.partition(b"\r\n\r\n")
+        lines = head.split(b"\r\n")
+        whole = lines if end else lines[:-1]
+        if whole and not re.fullmatch(rb"WARC/\d+\.\d+", whole[0]) or any(b":" not in x and x[:1] not in (b" ", b"\t") for x in whole[1:]):
+            return None
+        if end:
+            n = [x.partition(b":")[2].strip() for x in whole[1:] if x.partition(b":")[0].strip().lower() == b"content-length"]
+            return len(head) + 4 + int(n[0]) + 4 if n and n[0].isdigit() else None
+        if len(data) < size:
+            return None
+        size *= 4
+
+
+def _candidates(f, lo: int, hi: int, plain: bool) -> list[tuple[int, int]]:
+    """(place, size) wherever a record seems to start in [lo, hi)."""
+    f.seek(lo)
+    data, magic, out = f.read(max(0, hi - lo) + 64), PLAIN if plain else GZIP, []
+    at = data.find(magic)
+    while 0 <= at < hi - lo:
+        if plain:
+            size = _plain_length(f, lo + at)
+        else:
+            size = _skip_length(data[at : at + 64])
+            if size is None:
+                size = (_inflated(f, lo + at) or (b"", None))[1]
+        if size and size > (0 if plain else 18):
+            out.append((lo + at, size))
+        at = data.find(magic, at + 1)
     return out
 
 
-def _leaving(data: bytes, lo: int, hi: int) -> list[tuple[int, int]]:
+def _leaving(found: list[tuple[int, int]], hi: int) -> list[tuple[int, int]]:
     """Every candidate of a range with the place where its chain leaves the range; chains that meet no record end there."""
     leaves: dict[int, int] = {}
-    for at, size in reversed(_candidates(data, hi - lo)):
-        nxt = lo + at + size
-        leaves[lo + at] = nxt if nxt >= hi else leaves.get(nxt, -1)
+    for at, size in reversed(found):
+        leaves[at] = at + size if at + size >= hi else leaves.get(at + size, -1)
     return [(k, v) for k, v in leaves.items() if v >= 0]
 
 
+def _is_plain(f) -> bool:
+    f.seek(0)
+    return f.read(len(PLAIN)) == PLAIN
+
+
 def _exits(folder: str):
     def run(batches):
         system, _ = open_dir(folder)
         for b in batches:
             for path, lo, hi in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                keep = _leaving(_read(system, path, lo, hi + 64), lo, hi)
+                with system.open_input_file(path) as f:
+                    keep = _leaving(_candidates(f, lo, hi, _is_plain(f)), hi)
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(keep), pa.string()), pa.array([k for k, _ in keep], pa.int64()), pa.array([v for _, v in keep], pa.int64())], names=["path", "at", "next"])
 
     return run
@@ -187,48 +256,78 @@ def _entries(pointers: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def _walk(f, path: str, entry: int, hi: int):
-    """The records of a range, from its proven entry on."""
-    f.seek(entry)
-    at = entry
+    """(place, length, headers) of the records of a range, from its proven entry on."""
+    at, plain = entry, _is_plain(f)
     while at < hi:
-        head = f.read(_HEAD.size)
+        f.seek(at)
+        head = f.read(64)
         if not head:
             return
-        magic, _, _, _, _, sub, _, size, plain = _HEAD.unpack(head)
-        if magic != MAGIC or sub != _SUBFIELD:
+        size = _plain_length(f, at) if plain else _skip_length(head)
+        if size is None and not plain and head.startswith(GZIP):
+            data, size = _inflated(f, at) or (b"", None)
+        elif size is not None:
+            f.seek(at)
+            data = f.read(size)
+            if not plain:
+                z = zlib.decompressobj(31)
+                try:
+                    data = z.decompress(data)
+                except zlib.error as e:
+                    raise ValueError(f"{path}: record at {at} is damaged") from e
+                if not z.eof or z.unused_data:
+                    raise ValueError(f"{path}: record at {at} is damaged")
+        if size is None:
             raise ValueError(f"{path}: no record at {at}")
-        rest = f.read(size - _HEAD.size)
-        data = zlib.decompress(rest[:-8], -15, max(1, plain))
-        if struct.unpack("<II", rest[-8:]) != (zlib.crc32(data), len(data) & 0xFFFFFFFF):
-            raise ValueError(f"{path}: record at {at} is damaged")
-        h = parse(data)
-        page, refers = (h.get(k, "").removeprefix("<urn:page:").removesuffix(">") for k in ("warc-record-id", "warc-refers-to"))
-        yield None if page == "None" else int(page), h["payload_bytes"], h["payload_digest"], h["warc-type"], int(refers) if refers not in ("", "None") else None
+        yield at, size, parse(data)
         at += size
 
 
+_RECORD = "path string, at long, size long, record_type string, record_id string, url string, payload_bytes long, payload_digest string, digest_ok boolean, refers_to string"
+
+
 def _records(folder: str):
     def run(batches):
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+        names = [x.split()[0] for x in _RECORD.split(", ")]
+        kinds = [{"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[x.split()[1]] for x in _RECORD.split(", ")]
         system, _ = open_dir(folder)
         for b in batches:
             for path, _, hi, entry in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 with system.open_input_file(path) as f:
-                    out = list(_walk(f, path, entry, hi))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                    out = [(path, at, size, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), h["payload_bytes"], h["payload_digest"], h["digest_ok"], h.get("warc-refers-to")) for at, size, h in _walk(f, path, entry, hi)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
     return run
 
 
-def read_warc(files: DataFrame, folder: str, range_bytes: int = RANGE) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record of the listed files."""
+def ranges_of(files: DataFrame, range_bytes: int = RANGE) -> DataFrame:
+    """(path, lo, hi, size) of the byte ranges of files(path, size)."""
     n = F.greatest(F.ceil(F.col("size") / range_bytes), F.lit(1)).cast("int")
     ranges = files.select("path", "size", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
-    ranges = cut(ranges.select("path", (F.col("k") * F.lit(range_bytes).cast("long")).alias("lo"), F.least((F.col("k") + 1) * F.lit(range_bytes).cast("long"), F.col("size")).alias("hi"), "size").where("lo < hi"))
-    tasks = max(1, ranges.count())
+    step = F.lit(range_bytes).cast("long")
+    return ranges.select("path", (F.col("k") * step).alias("lo"), F.least((F.col("k") + 1) * step, F.col("size")).alias("hi"), "size").where("lo < hi")
+
+
+def read_records(files: DataFrame, folder: str, range_bytes: int = RANGE) -> DataFrame:
+    """(path, at, size, record_type, record_id, url, payload_bytes, payload_digest, digest_ok, refers_to) of every record of files(path, size):
+    any WARC files, compressed by record or not at all. digest_ok is false where a declared SHA-1 differs from the payload's."""
+    ranges = cut(ranges_of(files, range_bytes))
+    n = ranges.count()
+    tasks = max(1, -(-n // TASK_RANGES), min(n, 2 * files.sparkSession.sparkContext.defaultParallelism))
     pointers = ranges.repartition(tasks, "path", "lo").mapInArrow(_exits(folder), "path string, at long, next long")
     entries = _entries(cut(pointers), ranges)
-    return entries.repartition(tasks, "path", "lo").mapInArrow(_records(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return entries.repartition(tasks, "path", "lo").mapInArrow(_records(folder), _RECORD)
+
+
+def read_warc(files: DataFrame, folder: str, range_bytes: int = RANGE) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every page that write_warc() wrote to the listed files."""
+
+    def page(c: str):
+        return F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+
+    sound = F.when(F.col("digest_ok"), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.col("path"), F.lit(": payload digest differs at "), F.col("at"))))
+    rows = read_records(files, folder, range_bytes).where(F.col("record_id").startswith("<urn:page:"))
+    return rows.select(page("record_id").alias("page_id"), "payload_bytes", sound.alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
 
 
 def archived(pages: DataFrame) -> DataFrame:
