@@ -7,15 +7,18 @@ cannot hide a repeat: those never travel. The others are cut out of the text as
 bucket of their minimiser, and there the windows of the distinct strings are sorted and counted
 byte for byte. Words under a repeated window are removed.
 
-Steps: (1) minimiser runs of every text, dealt by minimiser, streamed in order; runs whose
-minimiser has company go back to (2) one copy of each distinct text, which cuts the strings;
-(3) strings are collapsed, then counted per bucket; (4) verdicts return to the texts.
+Steps: (1) minimiser runs of every text; least and greatest place by minimiser, combined before they
+are dealt, tell which minimisers have company, and a join that Spark may split keeps their runs;
+(2) one copy of each distinct text cuts the strings; (3) strings are collapsed, then counted per
+bucket; a minimiser with more than HOT strings has no bucket: its strings are unpacked into windows,
+which are counted by themselves, combined before they are dealt; (4) verdicts return to the texts.
 Exact copies of whole texts are recognised by SHA-256 and take part once, so a group of copies is
 never gathered in one task.
 
 Defined cases: null text has no words; texts shorter than a window lose nothing; of repeated rows
 every long enough one is removed in full (each is "anywhere else" for the other); ties need no
-order since all occurrences go; other columns are ignored; an empty table gives an empty result.
+order since all occurrences go; a very long text is scanned in pieces with an overlap; other columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, text_bytes, written
+from .common import CHUNK_BYTES, cut, sliced, text_bytes, written
 
 WINDOW, GRAM = 35, 8
 #: A longer text is scanned in pieces of so many words, with an overlap.
 PIECE = 1 << 20
+#: Strings of a minimiser that are counted in one task; beyond, their windows are counted one by one.
+HOT = 2048
 _POS = np.uint64(22)
 
 
@@ -110,9 +115,8 @@ def _short(key: bytes) -> int:
 def _heads(window: int, gram: int):
     def run(batches):
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for lo, hi in chunks(texts):
-                part = texts[lo:hi]
+            for lo, hi in sliced(b.column(0)):
+                part = b.column(0).slice(lo, hi - lo).to_pylist()
                 own, start, count, g = minimiser_runs(part, window, gram)
                 th = np.array([_short(_key(t)) for t in part], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(th[own]), pa.array(start.astype(np.int64)), pa.array(count.astype(np.int32))], names=["g", "th", "start", "n"])
@@ -120,46 +124,12 @@ def _heads(window: int, gram: int):
     return run
 
 
-def _shared(batches):
-    """Rows sorted by (g, th, start): those whose g has another run, or whose run may repeat itself. The last rows of a batch wait for the next."""
-    held = None  # the open minimiser's first row, until it has company
-
-    for b in batches:
-        g, th, start, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        if not len(g):
-            continue
-        new_g = np.r_[True, g[1:] != g[:-1]]
-        fresh = new_g | np.r_[True, (th[1:] != th[:-1]) | (start[1:] != start[:-1])]
-        if held is not None and g[0] == held["row"][0]:
-            new_g[0] = False
-            fresh[0] = (th[0], start[0]) != held["row"][1:3]
-        i = np.flatnonzero(fresh)
-        group = np.cumsum(new_g)
-        mine = group[i]
-        count = np.bincount(mine, weights=1 + (n[i] < 0), minlength=group[-1] + 1)
-        open_first = held is not None and not new_g[0]
-        if open_first:
-            count[0] += 1 + held["shared"]
-        keep = i[count[mine] > 1]
-        rows = [g[keep], th[keep], start[keep], n[keep]]
-        if open_first and count[0] > 1 and not held["shared"]:
-            rows = [np.r_[np.array([held["first"][k]], r.dtype), r] for k, r in enumerate(rows)]
-        last = group[-1]
-        if open_first and last == 0:
-            held = {"row": (g[-1], th[-1], start[-1]), "first": held["first"], "shared": held["shared"] or count[0] > 1}
-        else:
-            f = int(i[np.searchsorted(mine, last)])
-            held = {"row": (g[-1], th[-1], start[-1]), "first": (g[f], th[f], start[f], n[f]), "shared": bool(count[last] > 1)}
-        if len(rows[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["g", "th", "start", "n"])
-
-
 def _cut_strings(window: int):
     def run(batches):
         for b in batches:
-            texts, runs, cols = b.column(1).to_pylist(), b.column(2), []
-            for i, t in enumerate(texts):
-                key = b.column(0)[i].as_py()
+            texts, runs, cols, size = b.column(1), b.column(2), [], 0
+            for i in range(b.num_rows):
+                key, t = b.column(0)[i].as_py(), texts[i].as_py()
                 v = runs[i].values
                 g, start, n = (v.field(k).to_numpy(zero_copy_only=False) for k in ("g", "start", "n"))
                 n = np.abs(n)
@@ -170,9 +140,10 @@ def _cut_strings(window: int):
                 g, start, n = g[ok], start[ok], n[ok]
                 lo, hi = at[start].tolist(), (at[start + n + window - 1] - 1).tolist()
                 cols.append((key, g, start, n, [joined[x:y] for x, y in zip(lo, hi, strict=True)]))
-                if sum(len(c[4]) for c in cols) >= 20_000:
+                size += sum(hi) - sum(lo)
+                if size >= CHUNK_BYTES:
                     yield _strings(cols)
-                    cols = []
+                    cols, size = [], 0
             if cols:
                 yield _strings(cols)
 
@@ -193,14 +164,35 @@ def _strings(cols):
     )
 
 
+def _windows_of(packed: bytes, window: int) -> list[bytes]:
+    w = packed.split(b" ")
+    at = [0, *accumulate(len(x) + 1 for x in w)]
+    return [packed[at[j] : at[j + window] - 1] for j in range(len(w) - window + 1)]
+
+
+def _unpacked(window: int):
+    """Rows (g, sid, offset, text, k) of the windows of each string."""
+
+    def run(batches):
+        for b in batches:
+            for lo, hi in sliced(b.column(2), CHUNK_BYTES // 16):  # a word is in `window` windows
+                own, offset, text = [], [], []
+                for i in range(lo, hi):
+                    found = _windows_of(b.column(2)[i].as_py(), window)
+                    own += [i] * len(found)
+                    offset += range(len(found))
+                    text += found
+                at = pa.array(own, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(offset, pa.int32()), pa.array(text, pa.binary()), b.column(3).take(at)], names=["g", "sid", "offset", "text", "k"])
+
+    return run
+
+
 def _counted(window: int):
     def verdicts(g, strings):
         found = []
         for i, (_, packed, k) in enumerate(strings):
-            w = packed.split(b" ")
-            at = [0, *accumulate(len(x) + 1 for x in w)]
-            for j in range(len(w) - window + 1):
-                found.append((packed[at[j] : at[j + window] - 1], i, j, k))
+            found += [(text, i, j, k) for j, text in enumerate(_windows_of(packed, window))]
         found.sort()
         hit: dict[int, list[int]] = {}
         for x, (text, i, j, k) in enumerate(found):
@@ -245,7 +237,8 @@ def _removed(window: int):
     def run(batches):
         for b in batches:
             keys, n, sha = [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
+            for i in range(b.num_rows):
+                t = b.column(1)[i].as_py()
                 spans = b.column(2)[i].values
                 starts = np.repeat(spans.field("start").to_numpy(zero_copy_only=False), np.diff(spans.field("offsets").offsets.to_numpy()))
                 offsets = spans.field("offsets").flatten().to_numpy(zero_copy_only=False)
@@ -260,23 +253,47 @@ def _removed(window: int):
 
 def _plain(batches):
     for b in batches:
-        texts = b.column(1).to_pylist()
-        words = [t.split() for t in texts]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([_key(t) for t in texts], pa.binary()), pa.array([len(w) for w in words], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words])],
-            names=["doc_id", "key", "n_words", "sha_all"],
-        )
-
-
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+        key, n, sha = [], [], []
+        for t in b.column(1):
+            t = t.as_py()
+            w = t.split()
+            key.append(_key(t))
+            n.append(len(w))
+            sha.append(hashlib.sha256(b" ".join(w)).hexdigest())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(sha)], names=["doc_id", "key", "n_words", "sha_all"])
+
+
+def _verdict_rows(strings: DataFrame, window: int, hot: int) -> DataFrame:
+    """(vg, vsid, offsets): the windows of each distinct string that stand anywhere else."""
+
+    def distinct(df: DataFrame) -> DataFrame:
+        return df.groupBy("g", "sid").agg(F.first("packed").alias("packed"), F.count(F.lit(1)).alias("k")).select("g", "sid", "packed", "k")
+
+    many = cut(strings.groupBy("g").count().where(F.col("count") > hot).select(F.col("g").alias("many")))
+    if many.isEmpty():
+        few = strings
+    else:
+        few = strings.join(many, F.col("g") == F.col("many"), "left_anti")
+    counted = distinct(few).repartition("g").sortWithinPartitions("g", "sid").mapInArrow(_counted(window), "vg long, vsid binary, offsets array<int>")
+    if many.isEmpty():
+        return counted
+    rows = written(distinct(strings.join(many, F.col("g") == F.col("many"), "left_semi")).mapInArrow(_unpacked(window), "g long, sid binary, offset int, text binary, k long"), "hot-windows")
+    again = cut(rows.groupBy("g", "text").agg(F.sum("k").alias("n")).where("n > 1").select(F.col("g").alias("ag"), F.col("text").alias("again")))
+    met = rows.join(again, (F.col("g") == F.col("ag")) & (F.col("text") == F.col("again")), "left_semi")
+    return counted.union(met.groupBy(F.col("g").alias("vg"), F.col("sid").alias("vsid")).agg(F.collect_list("offset").alias("offsets")))
+
+
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for every row of docs(doc_id, text, ...)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("t"))
     keyed = docs.withColumn("key", F.unhex(F.substring(F.sha2("t", 256), 1, 32)))
     short = F.conv(F.substring(F.hex("key"), 1, 16), 16, -10).cast("long")
 
-    heads = docs.select("t").mapInArrow(_heads(window, gram), "g long, th long, start long, n int")
-    shared = heads.repartition("g").sortWithinPartitions("g", "th", "start").mapInArrow(_shared, "g long, th long, start long, n int")
-    lists = shared.groupBy("th").agg(F.collect_list(F.struct("g", "start", "n")).alias("runs"))
+    heads = written(docs.select("t").mapInArrow(_heads(window, gram), "g long, th long, start long, n int"), "minimisers")
+    # Two runs differ in their text or their place; n is negative where a run may repeat itself.
+    spread = heads.groupBy("g").agg(F.min("th").alias("t0"), F.max("th").alias("t1"), F.min("start").alias("s0"), F.max("start").alias("s1"), F.min("n").alias("n0"))
+    company = cut(spread.where("t0 != t1 or s0 != s1 or n0 < 0").select(F.col("g").alias("c")))  # so that the join has exchanges of its own, which Spark may split
+    lists = heads.join(company, F.col("g") == F.col("c"), "left_semi").groupBy("th").agg(F.collect_set(F.struct("g", "start", "n")).alias("runs"))
 
     texts = cut(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     wanted = lists.join(texts.withColumn("h", short), F.col("th") == F.col("h")).select("rep", F.col("key").alias("k"), "runs")
@@ -285,8 +302,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         "strings",
     )
 
-    distinct = strings.groupBy("g", "sid").agg(F.first("packed").alias("packed"), F.count(F.lit(1)).alias("k"))
-    counted = distinct.repartition("g").sortWithinPartitions("g", "sid").select("g", "sid", "packed", "k").mapInArrow(_counted(window), "vg long, vsid binary, offsets array<int>")
+    counted = _verdict_rows(strings, window, hot)
     spans = strings.select("g", "sid", "key", "start").join(counted, (F.col("g") == F.col("vg")) & (F.col("sid") == F.col("vsid"))).groupBy("key").agg(F.collect_list(F.struct("start", "offsets")).alias("spans"))
 
     single = texts.where("copies = 1")
