@@ -140,10 +140,11 @@ def prints(docs: DataFrame, window: int | None = WINDOW, min_words: int = MIN_WO
 def removals(docs: DataFrame, window: int | None = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """(d, h, starts): for each document that loses lines, where its repeated windows start among its non-blank lines, and their lengths."""
     found = written(prints(docs, window, min_words), "line-prints")
-    again = found.groupBy("print").count().where("count > 1").select(F.col("print").alias("p"))
+    # Aggregates are cut off before they are joined, so that the joins' own exchanges stand on both sides and Spark may split a hot key.
+    again = cut(found.groupBy("print").count().where("count > 1").select(F.col("print").alias("p")))
     joined = cut(found.join(again, F.col("print") == F.col("p"), "left_semi").select("d", "h", F.explode("wins").alias("w")).select("d", "h", "w.*"))
     place = F.struct(F.coalesce("d", F.lit(-(2**63))).alias("d"), "h", "pos")
-    first = joined.groupBy("whole").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select(F.col("whole").alias("q"), "first")
+    first = cut(joined.groupBy("whole").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select(F.col("whole").alias("q"), "first"))
     later = joined.join(first, F.col("whole") == F.col("q")).where(place > F.col("first"))
     return later.groupBy("d", "h").agg(F.sort_array(F.collect_set(F.struct("pos", "n"))).alias("starts"))
 
