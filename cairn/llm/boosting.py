@@ -73,17 +73,22 @@ class Boosted:
         return 1 / (1 + F.exp(-(total * (self.rate * self.a) + self.b)))
 
 
+def held(n: int) -> np.ndarray:
+    """The rows that calibrate and grow no tree: every third."""
+    return np.arange(n) % 3 == 2
+
+
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, rate: float = 0.3, least: int = 10) -> Boosted:
     """Every third row calibrates, the others grow trees."""
-    held = np.arange(len(x)) % 3 == 2
-    grown, margin = [], np.zeros(int((~held).sum()))
+    unseen = held(len(x))
+    grown, margin = [], np.zeros(int((~unseen).sum()))
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
-        t = _grow(x[~held], y[~held] - p, p * (1 - p), depth, least)
+        t = _grow(x[~unseen], y[~unseen] - p, p * (1 - p), depth, least)
         grown.append(t)
-        margin += rate * _value(t, x[~held])
+        margin += rate * _value(t, x[~unseen])
     model = Boosted(grown, rate, 1.0, 0.0)
-    m, t = model.margin(x[held]), y[held]
+    m, t = model.margin(x[unseen]), y[unseen]
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton steps of logistic calibration, with a weak prior on the identity
         p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))

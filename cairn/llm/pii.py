@@ -4,16 +4,20 @@ Base spans are leftmost non-overlapping matches of four kinds, each with a check
 counts, Luhn); a match that fails its check is dropped. On top of them high-recall generators
 propose candidates: long mixed tokens (kind secret), local phone numbers (phone) and spelled-out
 addresses (email). Each generator runs on its own, so their proposals may overlap. Boosted trees
-score each candidate by its format and the characters before it; of those over the calibrated
-threshold that touch no base span the likeliest of overlapping ones are added. Base spans stay.
+score each candidate by its format and the characters before it; of those over the threshold of
+their kind that touch no base span the likeliest of overlapping ones are added. Base spans stay.
 
 The trees are trained here on examples made by rule (EXAMPLES of them, a documented bound), with
 features computed by the same columns, and are then columns themselves, so the main path stays in
-the JVM. Patterns are written with possessive quantifiers and look-behinds so that the time is
-linear in the text; they match what the plain forms in the comments match.
+the JVM. Rows that no tree has seen calibrate the margins to probabilities, and fix a threshold for
+each kind: the least at which PRECISION of the kind's accepted rows are right. Patterns are written
+with possessive quantifiers and look-behinds so that the time is linear in the text; they match what
+the plain forms in the comments match.
 
 Positions are in code points, end exclusive. Defined cases: null text is empty and has no spans;
-repeated rows get equal results; other columns are ignored; an empty table gives no rows.
+repeated rows get equal results; of overlapping candidates of equal probability the longer stays,
+then the first; texts are taken whole, whatever their length; other columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from . import boosting
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-EXAMPLES, PROBABILITY, CONTEXT = 3000, 0.9, 24
+EXAMPLES, PRECISION, CONTEXT = 3000, 0.98, 24
 
 #: [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+  A match may begin inside a run only where the last one ended.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -41,7 +45,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 _TOKEN = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{16,}+"
 _LOCAL = r"(?<![0-9A-Za-z.+)-])(?<!\+[0-9] )\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])"
-_SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]\x20?(?:at|AT)\x20?[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[\[(]\x20?(?:dot|DOT)\x20?[\])])\x20?[A-Za-z0-9-]{2,63})+"
+_SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]\x20?(?:at|AT)\x20?[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(]\x20?(?:dot|DOT)\x20?[\])])\x20?[A-Za-z0-9-]{2,}+)++"
 GENERATORS = (_TOKEN, _LOCAL, _SPELLED)
 _CUE = r"(?i)(?:token|key|secret|passw|pwd|auth|bearer|api|credential|phone|tel|call|fax|mobile|cell|mail|contact|reach)[a-z_]{0,8}[^A-Za-z0-9]{0,5}$"
 _BLOCK = 128
@@ -195,22 +199,36 @@ def _examples(n: int, seed: int = 11) -> list[tuple[str, str, int]]:
     return out
 
 
-_MODELS: dict[int, boosting.Boosted] = {}
+_MODELS: dict[int, tuple[boosting.Boosted, dict[str, float]]] = {}
 
 
-def model(spark: SparkSession, examples: int = EXAMPLES) -> boosting.Boosted:
-    """Trees trained on the examples, whose features Spark computes; kept for the life of the driver."""
+def thresholds(p: np.ndarray, y: np.ndarray, kind: list[str], precision: float = PRECISION) -> dict[str, float]:
+    """By kind, the least probability from which on `precision` of the rows at or above it are right; over 1 if there is none."""
+    out = {}
+    for k in KINDS:
+        mine = np.array([x == k for x in kind], bool)
+        at, right = p[mine], y[mine]
+        good = [t for t in np.unique(at).tolist() if right[at >= t].mean() >= precision]
+        out[k] = min(good, default=2.0)
+    return out
+
+
+def model(spark: SparkSession, examples: int = EXAMPLES) -> tuple[boosting.Boosted, dict[str, float]]:
+    """Trees trained on the examples, whose features Spark computes, and the threshold of each kind; kept for the life of the driver."""
     if examples not in _MODELS:
         made = [(i, b + c + r_end, len(b), y) for i, (b, c, y) in enumerate(_examples(examples)) for r_end in ((" ore", '" an', ".")[i % 3],)]
         rows = spark.createDataFrame(made, "i int, text string, at int, y int").select("i", "y", "at", candidates(F.col("text")).alias("c"))
-        got = rows.select("i", "y", F.filter("c", lambda c: (c["start"] <= F.col("at")) & (c["end"] > F.col("at"))).alias("c")).where(F.size("c") > 0).select("i", "y", F.col("c")[0]["f"].alias("f")).orderBy("i").collect()  # at most `examples` rows
-        _MODELS[examples] = boosting.fit(np.array([r["f"] for r in got]), np.array([r["y"] for r in got], np.float64))
+        got = rows.select("i", "y", F.filter("c", lambda c: (c["start"] <= F.col("at")) & (c["end"] > F.col("at"))).alias("c")).where(F.size("c") > 0).select("i", "y", F.col("c")[0]["kind"].alias("kind"), F.col("c")[0]["f"].alias("f")).orderBy("i").collect()  # at most `examples` rows
+        x, y = np.array([r["f"] for r in got]), np.array([r["y"] for r in got], np.float64)
+        trees, unseen = boosting.fit(x, y), boosting.held(len(x))
+        _MODELS[examples] = trees, thresholds(trees.probability(x[unseen]), y[unseen], [r["kind"] for r, u in zip(got, unseen, strict=True) if u])
     return _MODELS[examples]
 
 
-def pii(docs: DataFrame, probability: float = PROBABILITY) -> DataFrame:
+def pii(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row of docs(doc_id, text, ...)."""
-    boosted = model(docs.sparkSession)
+    boosted, least = model(docs.sparkSession)
+    enough = lambda c: F.coalesce(*(F.when(c["kind"] == k, c["p"] >= t) for k, t in least.items()))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     t = F.col("t")
     place = "array<struct<start:int,end:int>>"
@@ -220,7 +238,7 @@ def pii(docs: DataFrame, probability: float = PROBABILITY) -> DataFrame:
     base = F.concat(*(F.col(k) for k in KINDS[:4]))
     free = lambda c: ~F.exists(base, lambda x: _overlap(x, c))
     rated = lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), c["g"].alias("g"), boosted.probability_column([c["f"][i] for i in range(width)]).alias("p"))
-    sure = found.withColumn("sure", F.filter(F.transform(F.filter("c", free), rated), lambda c: c["p"] >= probability))
+    sure = found.withColumn("sure", F.filter(F.transform(F.filter("c", free), rated), enough))
     added = sure.withColumn("added", _resolved(F.col("sure")))
     named = lambda k, a: F.transform(a, lambda x: F.concat(F.lit(k + ":"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string")))
     of_kind = lambda k: bare(F.filter("added", lambda c: c["kind"] == k))
