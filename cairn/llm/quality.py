@@ -12,8 +12,10 @@ are scored: labels, lang, source and doc_id are no inputs.
 
 Defined cases: null text is empty, and empty texts have a score; repeated rows get equal scores; a
 document with several labels counts by their mean (0.5 or more is 1), null labels are ignored;
-without labels of both kinds all weights are zero, so every score is THRESHOLD; other columns are
-ignored; an empty table gives no rows.
+without labels of both kinds all weights are zero, so every score is THRESHOLD; texts are taken
+whole, each by itself, so a very long one costs its own size; texts of equal features tie and get
+equal scores, and of equally good quantiles the least is the threshold; other columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, text_bytes, unused
+from .common import sliced, text_bytes, unused
 
 SAMPLE, PAIRS, THRESHOLD, HELD_OUT = 12_000, 60_000, 0.7, 2
 RIDGE, ROUNDS = 1e-3, 60
@@ -79,7 +81,7 @@ def _one(text: bytes) -> list[float]:
 
 
 def features(texts: list[bytes]) -> np.ndarray:
-    return np.array([_one(t) for t in texts], np.float64)
+    return np.array([_one(t) for t in texts], np.float64).reshape(len(texts), -1)
 
 
 class Ranker:
@@ -93,7 +95,8 @@ class Ranker:
         return np.concatenate([z, z * z / 3], axis=1)
 
     def score(self, f: np.ndarray) -> np.ndarray:
-        d = (self._x(f) @ self.weights - self.threshold) / self.spread
+        # Summed row by row: a matrix product may round a text's score by the number of texts beside it.
+        d = ((self._x(f) * self.weights).sum(axis=1) - self.threshold) / self.spread
         return 1 / (1 + np.exp(-np.clip(d + np.log(THRESHOLD / (1 - THRESHOLD)), -30, 30)))
 
 
@@ -138,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker:
 
     def run(batches):
         for b in batches:
-            f = features(b.column(1).to_pylist())
+            f = features([t.as_py() for t in b.column(1)]) if b.num_rows else ()
             if len(f):
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(f.tolist(), pa.list_(pa.float64()))], names=["doc_id", "label", "f"])
 
@@ -155,9 +158,9 @@ def scored(docs: DataFrame, model: Ranker) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            for lo, hi in chunks(texts):
-                s = model.score(features(texts[lo:hi]))
+            texts = b.column(b.num_columns - 1)
+            for lo, hi in sliced(texts):
+                s = model.score(features(texts.slice(lo, hi - lo).to_pylist()))
                 cols = [b.column(i).slice(lo, hi - lo) for i in range(b.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(s), pa.array(s >= THRESHOLD)], names=[*names, "quality_score", "quality_kept"])
 
