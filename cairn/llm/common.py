@@ -55,18 +55,6 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
 
 
-def chunks(values: list, limit: int = CHUNK_BYTES):
-    """Index ranges of consecutive values of about `limit` bytes, one value at least."""
-    lo = size = 0
-    for i, v in enumerate(values):
-        size += len(v)
-        if size >= limit:
-            yield lo, i + 1
-            lo, size = i + 1, 0
-    if lo < len(values):
-        yield lo, len(values)
-
-
 def sliced(column: pa.Array, limit: int = CHUNK_BYTES):
     """Index ranges of consecutive values of a text or binary column, of about `limit` bytes each and one value at least; nothing is copied into Python."""
     end = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))

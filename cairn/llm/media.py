@@ -11,8 +11,11 @@ decodes each (intra) frame. Shots are detected by the difference of consecutive
 a cut is a difference over a floor and over mean + SPREAD deviations of the differences around it.
 
 Defined cases: null text is an empty payload, which is stored as one frame of padding; equal texts
-give equal media; other columns are ignored; an empty table gives no rows; a payload's RIFF must
-stay under 4 GB (Spark's own limit for a value is 2 GB); one-frame media are one clip.
+give equal media; media of another encoder hold no payload, so n_bytes and the payload columns are
+null and the rest is filled; null media are not allowed; other columns are ignored; an empty table
+gives no rows; a payload's RIFF must stay under 4 GB (Spark's own limit for a value is 2 GB), and a
+value is worked on whole; equal differences at a cut are no tie, since each frame is judged alone;
+one-frame media are one clip.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, text_bytes
+from .common import sliced, text_bytes
 
 UNIT, SIDE, FPS = 576, 24, 25
 FLOOR, SPREAD, AROUND = 0.25, 2.5, 8
@@ -323,8 +326,8 @@ def shots(histograms: np.ndarray) -> list[int]:
     return [0, *(np.flatnonzero(cut) + 1).tolist()]
 
 
-def decode(media: list[bytes]) -> list[tuple[int, bytes, list[int], int]]:
-    """(length before padding, payload, first frames of the shots, frames) of each."""
+def decode(media: list[bytes]) -> list[tuple[int | None, bytes | None, list[int], int]]:
+    """(length before padding, payload, first frames of the shots, frames) of each; frames of another encoder hold no payload, so both are None."""
     parsed = [riff_index(m) for m in media]
     standard, foreign = [], {}
     for i, (m, (_, frames)) in enumerate(zip(media, parsed, strict=True)):
@@ -339,7 +342,7 @@ def decode(media: list[bytes]) -> list[tuple[int, bytes, list[int], int]]:
     out, lo = [], 0
     for i, (n_bytes, frames) in enumerate(parsed):
         if i in foreign:
-            out.append((n_bytes, b"", shots(foreign[i]), len(frames)))
+            out.append((None, None, shots(foreign[i]), len(frames)))
             continue
         hi = lo + len(frames)
         out.append((n_bytes, units[lo:hi].tobytes(), shots(histograms[lo:hi]), len(frames)))
@@ -352,9 +355,8 @@ def stored(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo, hi in chunks(texts):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(encode(texts[lo:hi]), pa.binary())], names=["doc_id", "media"])
+            for lo, hi in sliced(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(encode(b.column(1).slice(lo, hi - lo).to_pylist()), pa.binary())], names=["doc_id", "media"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("t")).mapInArrow(run, "doc_id long, media binary")
 
@@ -364,11 +366,11 @@ def media_features(media: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            values = b.column(1).to_pylist()
-            for lo, hi in chunks(values):
-                rows = []
-                for m, (n, payload, cuts, frames) in zip(values[lo:hi], decode(values[lo:hi]), strict=True):
-                    rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), f"frames={frames};shots={len(cuts)};at={','.join(map(str, cuts))}"))
+            for lo, hi in sliced(b.column(1)):
+                rows, values = [], b.column(1).slice(lo, hi - lo).to_pylist()
+                for m, (n, payload, cuts, frames) in zip(values, decode(values), strict=True):
+                    held = (None,) * 3 if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+                    rows.append((n, *held, len(m), hashlib.sha256(m).hexdigest(), f"frames={frames};shots={len(cuts)};at={','.join(map(str, cuts))}"))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))],
@@ -383,10 +385,9 @@ def clips(media: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            ids, values = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in chunks(values):
-                rows = []
-                for i, (_, _, cuts, frames) in zip(ids[lo:hi], decode(values[lo:hi]), strict=True):
+            for lo, hi in sliced(b.column(1)):
+                rows, (ids, values) = [], (b.column(i).slice(lo, hi - lo).to_pylist() for i in (0, 1))
+                for i, (_, _, cuts, frames) in zip(ids, decode(values), strict=True):
                     for k, (a, z) in enumerate(zip(cuts, [*cuts[1:], frames], strict=True)):
                         rows.append((i, k, a, z - a, a * 1000 // FPS, z * 1000 // FPS))
                 names = ["doc_id", "clip", "first_frame", "frames", "start_ms", "end_ms"]

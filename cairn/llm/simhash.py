@@ -13,8 +13,9 @@ three differences one is equal), so it spreads over many tasks and no link is lo
 
 Defined cases: a null text is an empty one; a text without words has fingerprint zero and is
 linked like any other; repeated rows and equal texts share a component; a null doc_id stays in
-the result and counts for no component_id unless all of its component are null; other columns
-are ignored; an empty table gives an empty result.
+the result and counts for no component_id unless all of its component are null; a bit that exactly
+half of the hashes have is 0; texts are taken whole, one in memory at a time; other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_bytes, unused
+from .common import cut, text_bytes
 from .components import components
 
 SHINGLE, BITS, HOT_ANCHOR = 3, 3, 4096
@@ -58,7 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            fps = np.fromiter((fingerprint(t, shingle) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), b.column(2)], names=["doc_id", "fp", "th"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("t"), F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, fp long, th long")
@@ -206,15 +207,3 @@ def _grouped(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs(doc_id, text, ...)."""
     return _grouped(docs, shingle, bits).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, shingle: int = 5, bits: int = BITS) -> DataFrame:
-    """docs without all but the first document, by (doc_id, hash of the text), of each component; columns as they were."""
-    groups = cut(_grouped(docs, shingle, bits).select("doc_id", "th", "label"))
-    d, h, th = unused(docs.columns, "one_d", "one_h", "one_th")
-    first = groups.groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("f")).select(F.col("f.doc_id").alias(d), F.col("f.th").alias(h))
-    keyed = docs.withColumn(th, F.xxhash64("text"))
-    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col(d)) & F.col(th).eqNullSafe(F.col(h)), "left_semi")
-    if not groups.groupBy("doc_id", "th").count().where("count > 1").isEmpty():  # repeated rows
-        kept = kept.dropDuplicates(["doc_id", th])
-    return kept.select(*docs.columns)

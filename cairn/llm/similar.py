@@ -165,7 +165,7 @@ def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     place = F.struct("doc_id", "th")
     nodes = cut(rows.groupBy("node").agg(F.min_by("fp", place).alias("fp"), F.min_by("bands", place).alias("bands"), F.min("n").alias("n"), F.min(place).alias("at")))
     keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
-    ends = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").withColumnRenamed("key", "k")
+    ends = cut(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").withColumnRenamed("key", "k"))  # cut, so that the join may be split
     shared = cut(keyed.join(ends, F.col("key") == F.col("k")).select("key", "node", "n", "low", "high"))
     met = shared.select("node", F.explode(F.array("low", "high")).alias("other"))
     # SimHash: nodes of one fingerprint, and of linked ones, through the least node of each.
