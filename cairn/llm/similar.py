@@ -180,7 +180,7 @@ def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     wanted = pairs.select("a").union(pairs.select("b")).union(shared.select("node")).distinct().join(nodes.select("node", "at"), F.col("a") == F.col("node")).select("node", F.col("at.doc_id").alias("d"), F.col("at.th").alias("h"))
     texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select("node", "t")
-    sets = written(texts.mapInArrow(_sets, "n long, s binary"), "shingle-sets").dropDuplicates(["n"])
+    sets = written(texts.mapInArrow(_sets, "n long, s binary").dropDuplicates(["n"]), "shingle-sets")
     both = pairs.join(sets.withColumnRenamed("n", "a"), "a").withColumnRenamed("s", "x").join(sets.withColumnRenamed("n", "b"), "b").select("a", "b", "x", "s")
     found = cut(both.mapInArrow(_verified, "a long, b long"))
 
