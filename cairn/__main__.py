@@ -10,7 +10,7 @@ def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="cairn", description=__doc__)
     p.add_argument("root")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, more in {"projects": [], "tables": [], "describe": ["table"], "scan": ["table"], "scan-kv": ["prefix"], "verify": [], "checkpoint": [], "parity": ["table"], "backup": ["to"], "events": []}.items():
+    for name, more in {"projects": [], "tables": [], "describe": ["table"], "scan": ["table"], "scan-kv": ["prefix"], "verify": [], "checkpoint": [], "parity": ["table"], "backup": ["to"], "events": [], "invariants": [], "export": ["to"], "restore": ["dump"], "dump-parity": ["dump"], "backups": [], "verify-backup": []}.items():
         c = sub.add_parser(name)
         for m in more:
             c.add_argument(m)
@@ -20,9 +20,18 @@ def main(args: list[str] | None = None) -> int:
 
     from pyspark.sql import SparkSession
 
+    from cairn.sources import offline
     from cairn.sources.store import Engine
 
-    engine = Engine(SparkSession.builder.getOrCreate(), a.root)
+    spark = SparkSession.builder.getOrCreate()
+    if a.command in ("backups", "verify-backup"):  # ROOT is a folder of backups, or one of them
+        out = offline.backups(spark, a.root) if a.command == "backups" else offline.verify_backup(spark, a.root)
+        print(json.dumps(out, default=str))
+        return int(a.command == "verify-backup" and bool(out))
+    if a.command == "restore":
+        print(json.dumps(offline.restore(spark, a.dump, a.root).refresh()))
+        return 0
+    engine = Engine(spark, a.root)
     view = engine.view(a.seq)
     if a.command in ("projects", "tables"):
         out = getattr(view, a.command)()
@@ -38,12 +47,18 @@ def main(args: list[str] | None = None) -> int:
         out = engine.verify()
     elif a.command == "checkpoint":
         out = engine.checkpoint()
+    elif a.command == "invariants":
+        out = offline.invariants(engine, a.seq)
+    elif a.command == "export":
+        out = offline.export(engine, a.to, a.seq)
+    elif a.command == "dump-parity":
+        out = offline.parity(engine, a.dump, a.seq)
     elif a.command == "parity":
         out = engine.parity(a.table, a.seq).first().asDict()
     else:
         out = engine.backup(a.to, a.seq)
     print(json.dumps(out, default=str))
-    return int(a.command == "verify" and bool(out))
+    return int(a.command in ("verify", "invariants", "dump-parity") and bool(out))
 
 
 if __name__ == "__main__":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def spread(open_orders: DataFrame) -> DataFrame:
 
 # --- matching ------------------------------------------------------------------------------------
 
-COMMANDS = "instrument string, seq long, action string, order_id long, owner string, client_id string, nonce long, side string, type string, tif string, post_only boolean, stp string, price_ticks long, qty long, target long"
+COMMANDS = "instrument string, seq long, action string, order_id long, owner string, client_id string, nonce long, side string, type string, tif string, post_only boolean, stp string, price_ticks long, price_high long, qty long, target long"
 REPORTS = "instrument string, seq long, order_id long, kind string, status string, filled long, remaining long, price_ticks long, maker_id long, reason string"
 STATE = "instrument string, order_id long, owner string, client_id string, side string, price_ticks long, remaining long, placed_seq long, status string"
 
@@ -36,22 +38,42 @@ class Config:
 class Book:
     """Price-time priority for one instrument. Commands come in order; every one yields reports."""
 
+    ACTIONS = ("new", "cancel", "replace", "reduce", "mass_cancel", "match", "halt")
+
     def __init__(self, config: Config | None = None):
         self.config = config or Config()
         self.orders: dict[int, dict] = {}
         self.levels: dict[str, dict[int, dict[int, dict]]] = {"bid": {}, "ask": {}}
+        # Prices by rank, best first; those whose level has gone are dropped when they come up.
+        self.ranked: dict[str, list[int]] = {"bid": [], "ask": []}
         self.nonces: dict[str, int] = {}
         self.clients: dict[tuple[str, str], int] = {}
         self.placed = 0
 
     def best(self, side: str) -> int | None:
-        level = self.levels[side]
-        return (max(level) if side == "bid" else min(level)) if level else None
+        level, ranked, sign = self.levels[side], self.ranked[side], -1 if side == "bid" else 1
+        while ranked and sign * ranked[0] not in level:
+            heappop(ranked)
+        return sign * ranked[0] if ranked else None
+
+    def _at_level(self, o: dict) -> None:
+        level = self.levels[o["side"]]
+        if o["price_ticks"] not in level:
+            heappush(self.ranked[o["side"]], (-1 if o["side"] == "bid" else 1) * o["price_ticks"])
+        level.setdefault(o["price_ticks"], {})[o["order_id"]] = o
 
     def _rest(self, o: dict) -> None:
         self.placed += 1
         o["placed_seq"] = self.placed
-        self.levels[o["side"]].setdefault(o["price_ticks"], {})[o["order_id"]] = o
+        self._at_level(o)
+
+    def restore(self, o: dict) -> None:
+        """Takes over an order from an earlier state; open ones must come in order of placed_seq."""
+        self.orders[o["order_id"]] = o
+        if o["client_id"]:
+            self.clients[o["owner"], o["client_id"]] = o["order_id"]
+        if self._open(o["order_id"]):
+            self._at_level(o)
 
     def _take_off(self, o: dict) -> None:
         level = self.levels[o["side"]].get(o["price_ticks"], {})
@@ -67,6 +89,10 @@ class Book:
     def crosses(side: str, price: int | None, other: int) -> bool:
         return price is None or (other <= price if side == "bid" else other >= price)
 
+    def price_allowed(self, price: int | None) -> bool:
+        low, high = self.config.low, self.config.high
+        return price is not None and price > 0 and (low is None or price >= low) and (high is None or price <= high)
+
     def _refusal(self, c: dict) -> str | None:
         cfg, other = self.config, "ask" if c["side"] == "bid" else "bid"
         price = None if c["type"] == "market" else c["price_ticks"]
@@ -76,8 +102,10 @@ class Book:
             return "quantity"
         if c["type"] == "market" and c["post_only"]:
             return "post_only_market"
-        if price is not None and (price <= 0 or cfg.low is not None and price < cfg.low or cfg.high is not None and price > cfg.high):
+        if c["type"] != "market" and not self.price_allowed(price):
             return "price"
+        if c["order_id"] is None or c["order_id"] in self.orders:
+            return "order_id"
         if c["nonce"] is not None and c["nonce"] <= self.nonces.get(c["owner"], -1):
             return "nonce"
         if c["client_id"] and (c["owner"], c["client_id"]) in self.clients:
@@ -163,8 +191,14 @@ class Book:
     def replace(self, c: dict):
         """A new price or a larger quantity loses priority; it does not match again."""
         o, why = self._own(c)
-        if o is None or not c["qty"] or c["qty"] % self.config.lot:
-            yield c["target"], "rejected", "none", 0, 0, None, None, why or "quantity"
+        if o is not None and (not c["qty"] or c["qty"] < 0 or c["qty"] % self.config.lot):
+            why = "quantity"
+        elif o is not None and c["price_ticks"] is not None and not self.price_allowed(c["price_ticks"]):
+            why = "price"
+        elif o is not None and self.config.halted:
+            why = "halted"
+        if why:
+            yield c["target"], "rejected", "none", 0, 0, None, None, why
             return
         if c["tif"] in ("ioc", "fok"):
             yield from self.cancel(c)
@@ -180,7 +214,9 @@ class Book:
 
     def reduce(self, c: dict):
         o, why = self._own(c)
-        if o is None:
+        if o is not None and (not c["qty"] or c["qty"] < 0 or c["qty"] % self.config.lot):
+            why = "quantity"
+        if why:
             yield c["target"], "rejected", "none", 0, 0, None, None, why
             return
         o["remaining"] = max(0, o["remaining"] - c["qty"])
@@ -190,8 +226,9 @@ class Book:
         yield o["order_id"], "reduced", o["status"], 0, o["remaining"], o["price_ticks"], None, None
 
     def mass_cancel(self, c: dict):
+        """Open orders of an owner, a side and prices from price_ticks to price_high, each if given."""
         for o in [x for x in self.orders.values() if self._open(x["order_id"])]:
-            if (c["owner"] is None or o["owner"] == c["owner"]) and (c["side"] is None or o["side"] == c["side"]) and (c["price_ticks"] is None or o["price_ticks"] >= c["price_ticks"]) and (c["qty"] is None or o["price_ticks"] <= c["qty"]):
+            if (c["owner"] is None or o["owner"] == c["owner"]) and (c["side"] is None or o["side"] == c["side"]) and (c["price_ticks"] is None or o["price_ticks"] >= c["price_ticks"]) and (c["price_high"] is None or o["price_ticks"] <= c["price_high"]):
                 self._take_off(o)
                 o["status"] = "cancelled"
                 yield o["order_id"], "cancelled", "cancelled", 0, o["remaining"], o["price_ticks"], None, "mass"
@@ -199,7 +236,7 @@ class Book:
     def match(self, c: dict):
         """A fill decided elsewhere, between two open orders of opposite sides."""
         a, b = self._open(c["order_id"]), self._open(c["target"])
-        if a is None or b is None or a["side"] == b["side"] or c["qty"] <= 0 or c["qty"] > min(a["remaining"], b["remaining"]):
+        if a is None or b is None or a["side"] == b["side"] or not c["qty"] or c["qty"] <= 0 or c["qty"] > min(a["remaining"], b["remaining"]):
             yield c["order_id"], "rejected", "none", 0, 0, c["price_ticks"], c["target"], "match"
             return
         for o in (a, b):
@@ -214,8 +251,9 @@ class Book:
         yield None, "halted" if self.config.halted else "resumed", "none", 0, 0, None, None, None
 
     def run(self, c: dict):
-        act = {"new": self.new, "cancel": self.cancel, "replace": self.replace, "reduce": self.reduce, "mass_cancel": self.mass_cancel, "match": self.match, "halt": self.halt}[c["action"]]
-        yield from act(c)
+        if c["action"] not in self.ACTIONS:
+            raise ValueError(f"no order action {c['action']}")
+        yield from getattr(self, c["action"])(c)
 
 
 def _clean(v):
@@ -266,9 +304,9 @@ def last_report(reports: DataFrame, instrument: str) -> DataFrame:
 
 
 def sample_commands(tables) -> DataFrame:
-    """Orders as bids and part of lineitem as asks: a stream of new orders per instrument (part of the key)."""
+    """Every order as a bid, and an ask derived from it: a stream of new orders per instrument (part of the key)."""
     text, long = (lambda v: F.lit(v).cast("string")), (lambda v: F.lit(v).cast("long"))
     bids = tables.table("orders").select(F.concat(F.lit("i"), (F.col("o_orderkey") % 16).cast("string")).alias("instrument"), (F.col("o_orderkey") * 2).alias("seq"), F.col("o_orderkey").alias("order_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("owner"), F.lit("bid").alias("side"), (F.col("o_custkey") % 50 + 80).alias("price_ticks"), (F.col("o_custkey") % 9 + 1).alias("qty"))
     asks = bids.select("instrument", F.col("seq") + 1, F.col("order_id") + 1_000_000_000, F.concat(F.lit("m"), F.col("owner")), F.lit("ask"), F.col("price_ticks") % 41 + 90, "qty")
     both = bids.union(asks)
-    return both.select("instrument", "seq", F.lit("new").alias("action"), "order_id", "owner", text(None).alias("client_id"), long(None).alias("nonce"), "side", F.lit("limit").alias("type"), F.lit("gtc").alias("tif"), F.lit(False).alias("post_only"), text(None).alias("stp"), "price_ticks", "qty", long(None).alias("target"))
+    return both.select("instrument", "seq", F.lit("new").alias("action"), "order_id", "owner", text(None).alias("client_id"), long(None).alias("nonce"), "side", F.lit("limit").alias("type"), F.lit("gtc").alias("tif"), F.lit(False).alias("post_only"), text(None).alias("stp"), "price_ticks", long(None).alias("price_high"), "qty", long(None).alias("target"))

@@ -22,11 +22,15 @@ KEYS = {"orders": ("o_orderkey",), "customer": ("c_custkey",), "nation": ("n_nat
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    from cairn.plans import storequeries
+
+    return _QUERIES | storequeries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from cairn.plans import storequeries
+
+    return _SQL | storequeries.oracle_sql()
 
 
 def _tables(spark: SparkSession, d: str, **policies) -> ParquetTables:
@@ -189,10 +193,8 @@ _query(
 @_frame("keyset_page_2", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey OFFSET 50 LIMIT 50")
 def _keyset(spark, d):
     t, q = _tables(spark, d), S("o_orderkey", "o_totalprice").from_("orders").order_by("o_totalprice", False).limit(50)
-    one = paging.execute_page(q, t)
-    state = paging.decode_cursor(one.cursor, None)
-    columns = [(F.col("o_totalprice"), False), (F.col("o_orderkey"), True)]
-    return t.table("orders").where(paging.after(columns, state["sort"])).orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(50).select("o_orderkey", "o_totalprice")
+    two = paging.execute_page(q, t, cursor=paging.execute_page(q, t).cursor)
+    return spark.createDataFrame([tuple(r) for r in two.rows], "o_orderkey long, o_totalprice double")
 
 
 @_frame("list_with_total", "SELECT count(*) AS total FROM orders WHERE o_orderpriority = '1-URGENT'")
@@ -341,11 +343,11 @@ def _book(spark, d) -> DataFrame:
     """Open orders: bids from orders, asks from lineitem, one instrument per priority or line number."""
     t = _tables(spark, d)
     bids = t.table("orders").select(F.lit("bid").alias("side"), F.substring("o_orderpriority", 1, 1).cast("int").alias("instrument"), F.floor(F.col("o_totalprice") / 100).cast("long").alias("price_ticks"), F.lit(1).cast("long").alias("remaining"))
-    asks = t.table("lineitem").where(F.col("l_linenumber") <= 5).select(F.lit("ask"), F.col("l_linenumber"), F.floor(F.col("l_extendedprice") / 10).cast("long") + 10_000, F.col("l_quantity").cast("long"))
+    asks = t.table("lineitem").select(F.lit("ask"), F.col("l_linenumber"), F.floor(F.col("l_extendedprice") / 10).cast("long") + 10_000, F.col("l_quantity").cast("long"))
     return bids.union(asks)
 
 
-_BOOK = "(SELECT 'bid' AS side, CAST(o_orderpriority[1:1] AS INT) AS instrument, CAST(floor(o_totalprice / 100) AS BIGINT) AS price_ticks, 1 AS remaining FROM orders UNION ALL SELECT 'ask', l_linenumber, CAST(floor(l_extendedprice / 10) AS BIGINT) + 10000, CAST(l_quantity AS BIGINT) FROM lineitem WHERE l_linenumber <= 5)"
+_BOOK = "(SELECT 'bid' AS side, CAST(o_orderpriority[1:1] AS INT) AS instrument, CAST(floor(o_totalprice / 100) AS BIGINT) AS price_ticks, 1 AS remaining FROM orders UNION ALL SELECT 'ask', l_linenumber, CAST(floor(l_extendedprice / 10) AS BIGINT) + 10000, CAST(l_quantity AS BIGINT) FROM lineitem)"
 
 
 def _book_reads():

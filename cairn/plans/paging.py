@@ -98,6 +98,15 @@ def page_window(q: Query, policy: Policy) -> tuple[int, int]:
     return size, skip
 
 
+def join_bound(q: Query, source, most: int) -> None:
+    """Refuses a join whose inputs multiply to more than `most` rows; each is counted no further than that."""
+    product = 1
+    for name in (q.table, *(j.table for j in q.joins)):
+        product *= max(1, source.table(name).limit(most + 1).count())
+        if product > most:
+            raise ScanBoundExceeded(f"the joined tables multiply to over {most} rows")
+
+
 def execute_page(q: Query, source, caller: str | None = None, cursor: str | None = None, policy: Policy = Policy(), seq: int = 0) -> Page:
     """One page in a total order: that of the query, then the primary key (a join: all columns)."""
     validate(q)
@@ -107,6 +116,8 @@ def execute_page(q: Query, source, caller: str | None = None, cursor: str | None
         raise InvalidQuery("distinct and cursor exclude each other")
     if q.take is None and q.where is None and not policy.allow_full_scan:
         raise ScanBoundExceeded("full scan without a limit")
+    if q.joins and not policy.allow_full_scan:
+        join_bound(q, source, policy.max_scan_rows)
     size, skip = page_window(q, policy)
     plain = bool(q.aggregates or q.unique)
     whole = replace(q, take=None, skip=None, order=() if not plain else q.order)

@@ -333,6 +333,15 @@ def _comparable(scope: Scope, name: str) -> Column:
     return scope.column(name)
 
 
+def saturating_sum(c: Column) -> Column:
+    """Sum of 64-bit integers, held to their range; 0 of nothing. Three limbs are summed as longs, so no row meets a wide decimal."""
+    low, mid = (F.sum(F.shiftright(c, n).bitwiseAND(F.lit((1 << 24) - 1).cast("long"))) for n in (0, 24))
+    wide = lambda x, n: x.cast("decimal(38,0)") * F.lit(1 << n).cast("decimal(16,0)")
+    total = wide(F.sum(F.shiftright(c, 48)), 48) + wide(mid, 24) + low.cast("decimal(38,0)")
+    bound = lambda v: F.lit(v).cast("decimal(38,0)")
+    return F.least(F.greatest(F.coalesce(total.cast("decimal(38,0)"), bound(0)), bound(-(1 << 63))), bound((1 << 63) - 1)).cast("long")
+
+
 def aggregate_column(a: Aggregate, scope: Scope) -> Column:
     if a.fn == "count":
         return F.count(F.lit(1)).alias(a.name)
@@ -342,6 +351,8 @@ def aggregate_column(a: Aggregate, scope: Scope) -> Column:
             raise TypeMismatch(f"{a.fn} of {a.column}, which is {kind}")
         if a.fn == "avg":
             return F.avg(c.cast("double")).alias(a.name)
+        if kind == "integer" and isinstance(scope.fields[scope.name(a.column)].dataType, T.LongType):
+            return saturating_sum(c).alias(a.name)
         return F.coalesce(F.sum(c if kind == "float" else c.cast("long") if kind != "u64" else c), F.lit(0)).alias(a.name)
     return (F.min(c) if a.fn == "min" else F.max(c)).alias(a.name)
 

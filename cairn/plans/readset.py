@@ -22,6 +22,10 @@ class Read:
 class ReadSet:
     reads: list[Read] = field(default_factory=list)
 
+    def intersects(self, writes: list[tuple[str, dict]]) -> bool:
+        """Whether any of the written (table, key columns and values) may be what was read; a key column that a write does not name may hold anything."""
+        return any(r.table == table and all(c not in key or key[c] == v for c, v in r.key) for r in self.reads for table, key in writes)
+
     def changed(self, engine, until: int | None = None) -> bool:
         """Whether a commit after the reads touched a key they cover."""
         until = engine.refresh() if until is None else until

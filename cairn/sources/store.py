@@ -26,6 +26,7 @@ from cairn.functions.types import SPARK, check_value, literal_fits
 from cairn.functions.wideint import MAX_U256, from_limbs, from_u256, limb_sums, u256
 from cairn.operators import changelog, eventlog, keyed
 from cairn.plans.errors import AssertionFailed, Conflict, ConstraintViolation, DuplicateKey, IndexNotFound, InvalidQuery, NotFound, Overflow, PermissionDenied, TableNotFound, TypeMismatch, Underflow, ValidationError
+from cairn.sources import book
 from cairn.sources import catalog as C
 from cairn.sources.files import LogFiles
 
@@ -40,12 +41,31 @@ class CommitResult:
     duplicate: bool = False
 
 
+WRITE_CLASSES = ("economic", "standard", "volatile")
+#: An idempotency key is remembered for so many seconds and commits; the largest text, JSON or blob value.
+IDEMPOTENCY_SECONDS, IDEMPOTENCY_COMMITS, MAX_VALUE = 300, 100_000, 1 << 20
+
+
 @dataclass
 class Envelope:
+    """What one commit does, and what must hold for it: assertions on the state, and a read set nobody has changed since."""
+
     mutations: list[dict]
     assertions: list[dict] = field(default_factory=list)
     caller: str | None = None
     idempotency_key: str | None = None
+    read_set: object | None = None  # plans.readset.ReadSet
+    write_class: str = "standard"
+
+
+@dataclass(frozen=True)
+class Plan:
+    """What a commit would do: errors that refuse it, the commit it builds on, what it reads and how many rows it writes."""
+
+    errors: list[str]
+    base: int
+    read_set: object
+    writes: dict[str, int]
 
 
 class Engine:
@@ -57,7 +77,10 @@ class Engine:
         self.log = LogFiles(spark, f"{self.root}/log")
         self.entries: list[dict] = []
         self._catalogs: dict[int, dict] = {0: C.empty()}
+        #: Called with each commit's log entry; and with (table, commit, caller, seconds or None) of each query.
         self.hooks: list = []
+        self.query_hooks: list = []
+        self.idempotency_seconds, self.idempotency_commits = IDEMPOTENCY_SECONDS, IDEMPOTENCY_COMMITS
         self.refresh()
 
     # --- log ------------------------------------------------------------------------------------
@@ -165,35 +188,71 @@ class Engine:
         return self.change_log(table, until, after)
 
     # --- committing ---------------------------------------------------------------------------------
-    def commit(self, *mutations: dict, assertions: list[dict] | None = None, caller: str | None = None, idempotency_key: str | None = None) -> CommitResult:
-        return self.commit_envelope(Envelope(list(mutations), assertions or [], caller, idempotency_key))
+    def commit(self, *mutations: dict, assertions: list[dict] | None = None, caller: str | None = None, idempotency_key: str | None = None, read_set=None, write_class: str = "standard") -> CommitResult:
+        return self.commit_envelope(Envelope(list(mutations), assertions or [], caller, idempotency_key, read_set, write_class))
+
+    def _earlier(self, key: str, print_: str) -> CommitResult | None:
+        """The commit that used the key, within the window."""
+        since = time.time() * 1e6 - self.idempotency_seconds * 1e6
+        for e in reversed(self.entries[-self.idempotency_commits :]):
+            if e["ts_micros"] < since:
+                return None
+            if e.get("idempotency", {}).get("key") == key:
+                if e["idempotency"]["print"] != print_:
+                    raise ValidationError("the idempotency key was used for something else")
+                return CommitResult(e["seq"], True)
+        return None
 
     def commit_envelope(self, env: Envelope) -> CommitResult:
+        if env.write_class not in WRITE_CLASSES:
+            raise ValidationError(f"no write class {env.write_class}")
         key = f"{env.caller or ''}:{env.idempotency_key}" if env.idempotency_key else None
         print_ = hashlib.sha256(repr([{k: v for k, v in m.items() if k != "rows" or isinstance(v, list)} for m in env.mutations]).encode()).hexdigest()
         for _ in range(RETRIES):
             base = self.refresh()
-            if key:
-                for e in reversed(self.entries):
-                    if e.get("idempotency", {}).get("key") == key:
-                        if e["idempotency"]["print"] != print_:
-                            raise ValidationError("the idempotency key was used for something else")
-                        return CommitResult(e["seq"], True)
+            if key and (done := self._earlier(key, print_)):
+                return done
             work = Work(self, base, env.caller)
             try:
                 work.check(env.assertions)
             except AssertionFailed as e:
                 self.audit = [*getattr(self, "audit", []), {"seq": base, "error": str(e), "caller": env.caller, "ts_micros": int(time.time() * 1e6)}]
                 raise
+            if env.read_set is not None and env.read_set.changed(self, base):
+                raise Conflict("what was read has changed")
             for m in env.mutations:
                 work.apply(m)
-            if work.publish({"key": key, "print": print_} if key else None):
+            if work.publish({"key": key, "print": print_} if key else None, env.write_class):
                 for h in self.hooks:
                     h(self.entries[-1])
                 self._keep_up()
                 return CommitResult(base + 1)
         raise Conflict("other commits came first every time")
 
+    def preflight_plan(self, *mutations: dict, assertions: list[dict] | None = None, caller: str | None = None, read_set=None) -> Plan:
+        """A dry run: what would refuse the mutations now, what they read and how much they would write; nothing is written.
+
+        Committed with the plan's read set, they are refused if anything that they read has changed meanwhile."""
+        from cairn.plans.readset import Read, ReadSet
+
+        work, errors = Work(self, self.refresh(), caller), []
+        try:
+            work.check(assertions or [])
+            if read_set is not None and read_set.changed(self, work.base):
+                raise Conflict("what was read has changed")
+            for m in mutations:
+                work.apply(m)
+        except ValueError as e:
+            errors.append(f"{type(e).__name__}: {e}")
+        reads = [Read(t, work.base) for t in sorted(work.now) if t in self.catalog(work.base)["tables"]]
+        reads += [Read(KV_TABLE, work.base, (("ns", ns), ("key", k))) for ns, k in sorted(work._kv_state())]
+        writes = {} if errors else {t: sum(p.count() for p in parts) for t, parts in work.changes.items()}
+        if not errors and (dirty := sum(v[3] for v in work._kv_state().values())):
+            writes[KV_TABLE] = dirty
+        if not errors and work.out:
+            writes[EVENTS] = len(work.out)
+        return Plan(errors, work.base, ReadSet(reads), writes)
+
     def preflight(self, *mutations: dict, assertions: list[dict] | None = None, caller: str | None = None) -> list[str]:
         """What would refuse the mutations now; nothing is written."""
         work = Work(self, self.refresh(), caller)
@@ -357,6 +416,24 @@ class Engine:
                 jvm.org.apache.hadoop.fs.FileUtil.copy(self.log.fs, path(f"{self.root}/{p}"), target, path(f"{to}/{p}"), False, True, conf)
         return seq
 
+    def restore_namespace(self, source: Engine, namespace: str, seq: int | None = None) -> list[str]:
+        """Brings the tables and KV of `project` or `project/scope` to their state in another store (a backup) at a commit; others stay.
+
+        All of it is one commit: tables that the namespace has here are dropped and made anew."""
+        seq = source.refresh() if seq is None else seq
+        inside = lambda name: name.startswith(f"{namespace}/")
+        there, here = source.catalog(seq)["tables"], self.catalog(self.refresh())["tables"]
+        drops = [{"op": "drop_table", "table": t} for t in _children_first({t: x for t, x in here.items() if inside(t)})]
+        names = [t for t in there if inside(t)]
+        makes = C.order_by_dependency([{"op": "create_table", "table": t, **{k: there[t][k] for k in ("columns", "primary_key", "unique", "checks", "defaults", "fks", "owner")}} for t in names])
+        rows = [{"kind": "upsert", "table": o["table"], "rows": source.table_at(o["table"], seq)} for o in makes]
+        under = F.col("ns").startswith(f"{namespace}/") | (F.col("ns") == namespace)
+        old = {(r["ns"], bytes(r["key"])) for r in self.table_at(KV_TABLE, len(self.entries)).where(under).select("ns", "key").toLocalIterator()}
+        kv = [{"kind": "kv_set", "ns": r["ns"], "key": bytes(r["key"]), "value": bytes(r["value"])} for r in source.table_at(KV_TABLE, seq).where(under).toLocalIterator()]
+        gone = [{"kind": "kv_del", "ns": ns, "key": k} for ns, k in sorted(old - {(m["ns"], m["key"]) for m in kv})]
+        self.commit(*({"kind": "ddl", "op": o} for o in [*drops, *makes]), *rows, *gone, *kv)
+        return names
+
     def parity(self, table: str, seq: int | None = None) -> DataFrame:
         """(n_rows, digest) of a snapshot, whatever the order of its rows."""
         df = self.view(seq).table(table)
@@ -398,15 +475,24 @@ class View:
             return None
         return E.bind_caller(E.from_json(p), caller)
 
+    def _tell(self, q, seconds: float | None) -> None:
+        for h in self.engine.query_hooks:
+            h({"table": self.name(q.table), "seq": self.seq, "caller": self.caller, "seconds": seconds})
+
     def query(self, q) -> DataFrame:
+        """The query's rows; lazy, so hooks hear of it without a time."""
         from cairn.plans.query import lower
 
+        self._tell(q, None)
         return lower(q, self, self.caller)
 
     def page(self, q, **options):
         from cairn.plans.paging import execute_page
 
-        return execute_page(q, self, self.caller, seq=self.seq, **options)
+        began = time.perf_counter()
+        out = execute_page(q, self, self.caller, seq=self.seq, **options)
+        self._tell(q, time.perf_counter() - began)
+        return out
 
     def sql(self, text: str, *tables: str) -> DataFrame:
         """Spark SQL over snapshot tables, named {table} in the text."""
@@ -508,6 +594,9 @@ class Work:
                 if c.name in have and have[c.name] != SPARK[c.type]:
                     raise TypeMismatch(f"{c.name} is {have[c.name].simpleString()}, not {SPARK[c.type].simpleString()}")
             df = rows.select(*((F.col(c.name) if c.name in have else F.lit(t["defaults"].get(c.name)).cast(SPARK[c.type])).alias(c.name) for c in cols))
+            long = [F.octet_length(c.name) > MAX_VALUE for c in cols if c.type in ("text", "json", "blob")]
+            if long and not df.where(_any(long)).isEmpty():
+                raise ValidationError(f"a value over {MAX_VALUE} bytes")
             bad = [F.col(c.name).isNull() for c in cols if not c.nullable] + [F.isnan(c.name) | F.col(c.name).isin(float("inf"), float("-inf")) for c in cols if c.type == "float"]
             if bad and not df.where(_any(bad)).isEmpty():
                 raise TypeMismatch("null in a non-null column, or a float that is not finite")
@@ -519,12 +608,14 @@ class Work:
         for r in rows:
             r = {**t["defaults"], **r}
             out.append(tuple(check_value(c, r.get(c.name)) for c in cols))
+            if any(len(v.encode() if isinstance(v, str) else v) > MAX_VALUE for v in out[-1] if isinstance(v, (str, bytes, bytearray))):
+                raise ValidationError(f"a value over {MAX_VALUE} bytes")
         plain = [tuple(decimal.Decimal(v) if c.type == "u64" and v is not None else v for c, v in zip(cols, row, strict=True)) for row in out]
         return self.engine.spark.createDataFrame(plain, T.StructType([T.StructField(c.name, SPARK[c.type]) for c in cols]))
 
     # --- constraints ---------------------------------------------------------------------------------
-    def put(self, table: str, df: DataFrame, check_fk: bool = True) -> None:
-        """Upserts rows after checks of CHECK, UNIQUE and foreign keys."""
+    def put(self, table: str, df: DataFrame, check_fk: bool = True, deep: int = 0) -> None:
+        """Upserts rows after checks of CHECK, UNIQUE and foreign keys; rows that refer to changed values follow."""
         t = self.spec(table)
         key = t["primary_key"]
         for j in t["checks"]:
@@ -544,8 +635,39 @@ class Work:
                 cond = _all([F.col(c) == F.col(f"_p{i}") for i, c in enumerate(fk["columns"])])
                 if not mine.join(parent, cond, "left_anti").isEmpty():
                     raise ConstraintViolation(f"foreign key {fk['columns']}")
+        moved = self._moved_references(table, df, key)
         self.now[table] = after
         self.changes.setdefault(table, []).append(df.withColumn("_op", F.lit("U")))
+        for name, fk, pairs in moved:
+            self._follow(name, fk, pairs, deep)
+
+    def _moved_references(self, table: str, df: DataFrame, key: list[str]) -> list[tuple]:
+        """(table, foreign key, old and new values) of the keys that refer to columns which the rows to write change."""
+        out = []
+        for name, other in self.cat["tables"].items():
+            for fk in other["fks"]:
+                if fk["table"] != table or set(fk["references"]) <= set(key):
+                    continue
+                old = self.rows(table).select(*key, *(F.col(c).alias(f"_o{i}") for i, c in enumerate(fk["references"])))
+                new = df.select(*key, *(F.col(c).alias(f"_n{i}") for i, c in enumerate(fk["references"])))
+                n = range(len(fk["references"]))
+                pairs = old.join(new, key).where(_any([~F.col(f"_o{i}").eqNullSafe(F.col(f"_n{i}")) for i in n])).select(*(f"_o{i}" for i in n), *(f"_n{i}" for i in n))
+                if not pairs.isEmpty():
+                    out.append((name, fk, pairs))
+        return out
+
+    def _follow(self, name: str, fk: dict, pairs: DataFrame, deep: int) -> None:
+        """What fk's on_update does with rows whose referenced values have changed: restrict (the default), cascade, set_null, set_default."""
+        if deep >= CASCADE:
+            raise ConstraintViolation(f"cascade deeper than {CASCADE}")
+        rows, act = self.rows(name), fk.get("on_update", "restrict")
+        hit = rows.join(pairs, _all([F.col(c) == F.col(f"_o{i}") for i, c in enumerate(fk["columns"])]))
+        if hit.isEmpty():
+            return
+        if act == "restrict":
+            raise ConstraintViolation(f"{name} refers to the row")
+        fill = {c: F.col(f"_n{i}") if act == "cascade" else F.lit(None if act == "set_null" else self.spec(name)["defaults"].get(c)).cast(rows.schema[c].dataType) for i, c in enumerate(fk["columns"])}
+        self.put(name, hit.withColumns(fill).select(*rows.columns), act == "set_default", deep + 1)
 
     def remove(self, table: str, df: DataFrame, deep: int = 0) -> None:
         """Deletes rows, acting on those that refer to them."""
@@ -763,6 +885,9 @@ class Work:
                 raise ConstraintViolation("rows are not unique")
             if op["change"] == "add_check" and not rows.where(~F.coalesce(E.compile_predicate(E.from_json(op["check"]), F.col), F.lit(False))).isEmpty():
                 raise ConstraintViolation("rows fail the check")
+        self.change_catalog(op)
+
+    def change_catalog(self, op: dict) -> None:
         self.cat, changed = C.apply_ddl(self.cat, op)
         if changed:
             self.ddl.append(op)
@@ -770,6 +895,17 @@ class Work:
                 self.made.add(op["table"])
             self.now.pop(op.get("table"), None)
 
+    # Order books (sources.book).
+    def _book_instrument(self, m: dict) -> None:
+        if not C.allowed(self.cat, self.caller, "table_ddl", book.INSTRUMENTS):
+            raise PermissionDenied(f"{self.caller} may not define instruments")
+        book.define(self, m)
+
+    def _order_book(self, m: dict) -> None:
+        if not C.allowed(self.cat, self.caller, "table_write", book.ORDERS):
+            raise PermissionDenied(f"{self.caller} may not send orders")
+        book.run(self, m)
+
     def _postflight(self, m: dict) -> None:
         self.check(m["assertions"])
 
@@ -829,7 +965,7 @@ class Work:
         raise ValidationError(f"no assertion {kind}")
 
     # --- publishing --------------------------------------------------------------------------------------
-    def publish(self, idempotency: dict | None) -> bool:
+    def publish(self, idempotency: dict | None, write_class: str = "standard") -> bool:
         seq, files = self.base + 1, {}
         for table, parts in self.changes.items():
             if table not in self.cat["tables"]:
@@ -852,7 +988,17 @@ class Work:
             files[KV_TABLE] = self.engine.write(self.engine.spark.createDataFrame(kv, _KV).coalesce(1), KV_TABLE)
         if self.out:
             files[EVENTS] = self.engine.write(self.engine.spark.createDataFrame(self.out, _EVENT).coalesce(1), EVENTS)
-        return self.engine.publish({"ddl": self.ddl, "files": files} | ({"idempotency": idempotency} if idempotency else {}))
+        return self.engine.publish({"ddl": self.ddl, "files": files, "write_class": write_class} | ({"idempotency": idempotency} if idempotency else {}))
+
+
+def _children_first(tables: dict) -> list[str]:
+    """Tables in an order in which each goes before those that it refers to."""
+    out: list[str] = []
+    while len(out) < len(tables):
+        left = {t: x for t, x in tables.items() if t not in out}
+        referred = {fk["table"] for t, x in left.items() for fk in x["fks"] if fk["table"] != t}
+        out += [t for t in left if t not in referred]
+    return out
 
 
 def _any(parts):

@@ -26,8 +26,16 @@ from cairn.sources.store import _EVENT, EVENTS, Engine
 
 @dataclass(frozen=True)
 class Options:
+    """A batch ends with the first commit that brings it to max_events or max_bytes of payload; a run, after max_duration_ms.
+
+    The checkpoint is written with the effects that bring it watermark_commits on. With more than one, effects of batches in
+    between are committed at once and the checkpoint later, so after a crash they are delivered again."""
+
     topic: str | None = None
     max_events: int = 256
+    max_bytes: int = 2 << 20
+    max_duration_ms: float | None = None
+    watermark_commits: int = 1
     max_retries: int = 3
     retry_backoff_ms: int = 100
     run_on_interval: bool = False
@@ -41,6 +49,7 @@ class Processor:
         self.engine, self.name, self.handler, self.options = engine, name, handler, options
         self.checkpoints, self.registry, self.dead = (Records(engine, p) for p in ("processor", "processor_registry", "processor_dead"))
         self.failures = 0
+        self.position: int | None = None  # handled, beyond the checkpoint
         # Registering anew never moves the checkpoint.
         self.registry.change((name,), lambda old: ({"topic": options.topic, "state": "running"} if old is None else ..., None))
         self.last_progress = time.monotonic()
@@ -73,10 +82,34 @@ class Processor:
 
     def pull(self) -> tuple[DataFrame, int | None]:
         """(events after the checkpoint, up to a commit boundary; last commit of them)."""
-        rows, _ = eventlog.read_stream(self.engine.events(), self.options.topic, self.checkpoint(), self.options.max_events)
-        last = rows.agg(F.max("commit_seq")).first()[0]
+        rows, _ = eventlog.read_stream(self.engine.events(), self.options.topic, max(self.checkpoint(), self.position or 0), self.options.max_events)
+        # At most max_events rows and the rest of their last commit.
+        sizes = rows.groupBy("commit_seq").agg(F.sum(F.octet_length("payload")).alias("n")).orderBy("commit_seq").collect()
+        last, total = None, 0
+        for r in sizes:
+            if last is not None and total + (r["n"] or 0) > self.options.max_bytes:
+                return rows.where(F.col("commit_seq") <= last), last
+            last, total = r["commit_seq"], total + (r["n"] or 0)
         return rows, last
 
+    def _done(self, last: int, mutations: list[dict]) -> None:
+        if last - self.checkpoint() >= self.options.watermark_commits:
+            self.acknowledge(last, mutations)
+            self.position = None
+            return
+        if mutations:
+            self.engine.commit(*mutations)
+        self.position = last
+
+    def flush(self) -> None:
+        """Writes the checkpoint of what was handled."""
+        if self.position is not None:
+            self.acknowledge(self.position)
+            self.position = None
+
+    def context(self) -> Context:
+        return Context(self)
+
     def run_once(self, sleep=time.sleep) -> int:
         """Handles one batch; returns how many events it had. Retries, then dead-letters and moves on."""
         if self.state() != "running":
@@ -88,7 +121,7 @@ class Processor:
             return 0
         for attempt in range(1, self.options.max_retries + 2):
             try:
-                self.acknowledge(last, self.handler(rows) or [])
+                self._done(last, self.handler(rows) or [])
                 self.failures, self.last_progress = 0, time.monotonic()
                 return rows.count()
             except Exception as e:  # the handler's fault, whatever it is
@@ -96,17 +129,20 @@ class Processor:
                 if attempt > self.options.max_retries:
                     letter = {"error": str(e)[:500], "from": self.checkpoint(), "to": last, "events": rows.count()}
                     self.acknowledge(last, [self.dead._write((self.name, f"{last:020d}"), letter)])
+                    self.position = None
                     return 0
                 sleep(eventlog.backoff(self.options.retry_backoff_ms, attempt) / 1000)
         return 0
 
     def run_until_idle(self, most: int = 1000) -> int:
-        total = 0
+        """Batch after batch until nothing is left, most batches were run or max_duration_ms is over; then writes the checkpoint."""
+        total, began, limit = 0, time.monotonic(), self.options.max_duration_ms
         for _ in range(most):
-            before = self.checkpoint()
+            before = (self.checkpoint(), self.position)
             total += self.run_once()
-            if self.checkpoint() == before:
+            if (self.checkpoint(), self.position) == before or limit is not None and (time.monotonic() - began) * 1000 >= limit:
                 break
+        self.flush()
         return total
 
     def dead_letters(self) -> list[dict]:
@@ -121,6 +157,66 @@ class Processor:
         return {"processor": self.name, "lag": behind, "idle_ms": idle, "status": eventlog.health(behind, self.options.max_lag_commits, idle, self.options.max_idle_ms), "failures": self.failures}
 
 
+class Context:
+    """One batch by hand: pull it, read and write with one's own pending writes in sight, and commit those with the checkpoint."""
+
+    def __init__(self, processor: Processor):
+        self.processor, self.engine = processor, processor.engine
+        self.events, self.last = processor.pull()
+        self.view = self.engine.view()
+        self.rows: dict[tuple, dict | None] = {}
+        self.kv: dict[tuple[str, bytes], bytes | None] = {}
+        self.emitted: list[dict] = []
+
+    def _key(self, table: str) -> list[str]:
+        return self.view.primary_key(table)
+
+    def read(self, table: str, *key) -> dict | None:
+        at = (full_name(table), key)
+        if at in self.rows:
+            return None if self.rows[at] is None else dict(self.rows[at])
+        rows = self.view.table(table)
+        for c, v in zip(self._key(table), key, strict=True):
+            rows = rows.where(F.col(c) == F.lit(v))
+        r = rows.first()
+        return None if r is None else r.asDict()
+
+    def write(self, table: str, row: dict) -> None:
+        self.rows[full_name(table), tuple(row[c] for c in self._key(table))] = dict(row)
+
+    def delete(self, table: str, *key) -> None:
+        self.rows[full_name(table), key] = None
+
+    def kv_get(self, key: bytes, ns: str = "main/app") -> bytes | None:
+        return self.kv[ns, key] if (ns, key) in self.kv else self.view.kv_get(key, ns)
+
+    def kv_set(self, key: bytes, value: bytes | None, ns: str = "main/app") -> None:
+        self.kv[ns, key] = value
+
+    def emit(self, topic: str, key: str, payload) -> None:
+        self.emitted.append({"kind": "emit", "topic": topic, "key": key, "payload": payload})
+
+    def mutations(self) -> list[dict]:
+        out: list[dict] = []
+        for table in dict.fromkeys(t for t, _ in self.rows):
+            mine = {k: r for (t, k), r in self.rows.items() if t == table}
+            if gone := [k for k, r in mine.items() if r is None]:
+                out.append({"kind": "delete", "table": table, "keys": gone})
+            if kept := [r for r in mine.values() if r is not None]:
+                out.append({"kind": "upsert", "table": table, "rows": kept})
+        out += [{"kind": "kv_del", "ns": ns, "key": k} if v is None else {"kind": "kv_set", "ns": ns, "key": k, "value": v} for (ns, k), v in self.kv.items()]
+        return out + self.emitted
+
+    def commit(self) -> None:
+        """Pending writes and the checkpoint of the batch, in one commit."""
+        if self.last is not None:
+            self.processor.acknowledge(self.last, self.mutations())
+            self.processor.position = None
+        elif pending := self.mutations():
+            self.engine.commit(*pending)
+        self.rows, self.kv, self.emitted = {}, {}, []
+
+
 def list_processors(engine: Engine) -> list[dict]:
     rows = engine.view().kv_scan(b"processor_registry\0", ns="_system/app").collect()
     return [{"processor": bytes(r["key"]).decode().split("\0")[1], **json.loads(bytes(r["value"]))} for r in rows]

@@ -4,7 +4,7 @@ from cairn.operators import orderbook as ob
 
 
 def order(i, side, price, qty, **more):
-    return {"action": "new", "order_id": i, "owner": f"o{i}", "client_id": None, "nonce": None, "side": side, "type": "limit", "tif": "gtc", "post_only": False, "stp": None, "price_ticks": price, "qty": qty, "target": None, **more}
+    return {"action": "new", "order_id": i, "owner": f"o{i}", "client_id": None, "nonce": None, "side": side, "type": "limit", "tif": "gtc", "post_only": False, "stp": None, "price_ticks": price, "price_high": None, "qty": qty, "target": None, **more}
 
 
 def run(book, *commands):
@@ -59,6 +59,61 @@ def test_ioc_cancel_replace_reduce_mass():
     assert b.best("bid") is None
 
 
+def test_replace_reduce_and_mass_cancel_keep_the_rules():
+    b = ob.Book(ob.Config(lot=2, low=50, high=200))
+    run(b, order(1, "bid", 100, 10), order(2, "bid", 120, 10), order(3, "ask", 150, 10))
+    bad = [order(1, None, 100, -8, action="replace", target=1), order(1, None, 9999, 8, action="replace", target=1), order(1, None, None, 3, action="replace", target=1), order(1, None, None, -4, action="reduce", target=1), order(1, None, None, None, action="reduce", target=1), order(1, "bid", 100, 2)]
+    assert [r[7] for r in run(b, *bad)] == ["quantity", "price", "quantity", "quantity", "quantity", "order_id"] and b.orders[1]["remaining"] == 10
+    out = run(b, order(0, None, 100, None, action="mass_cancel", owner=None, price_high=110))
+    assert [r[0] for r in out] == [1] and b.best("bid") == 120 and b.best("ask") == 150
+    with pytest.raises(ValueError):
+        run(b, order(0, None, None, None, action="price_allowed"))
+
+
+def test_books_in_commits(spark, tmp_path):
+    import random
+
+    from cairn.plans import errors
+    from cairn.sources import book as B
+    from cairn.sources.store import Engine
+
+    e = Engine(spark, str(tmp_path / "db"))
+    with pytest.raises(errors.NotFound):
+        e.commit({"kind": "order_book", "commands": [order(1, "bid", 100, 1) | {"instrument": "x"}]})
+    e.commit({"kind": "book_instrument", "instrument": "x", "low": 50, "high": 200}, {"kind": "book_instrument", "instrument": "y", "lot": 2})
+    r, plain = random.Random(8), {"x": ob.Book(ob.Config(low=50, high=200)), "y": ob.Book(ob.Config(lot=2))}
+    want = {"x": [], "y": []}
+    for batch in range(3):
+        commands = []
+        for i in range(batch * 12, batch * 12 + 12):
+            c = order(i, r.choice(["bid", "ask"]), r.randrange(95, 105), r.randrange(1, 5) * 2, owner=f"o{i % 3}", client_id=f"c{i}" if i % 4 == 0 else None, nonce=i if i % 5 == 0 else None)
+            if i % 6 == 5:
+                c = order(i, None, 99, 4, action=r.choice(["cancel", "replace", "reduce"]), target=r.randrange(i), owner=f"o{r.randrange(3)}")
+            commands.append({"instrument": r.choice("xy"), **c})
+        e.commit({"kind": "order_book", "commands": commands}, {"kind": "kv_set", "key": b"batch", "value": b"%d" % batch})
+        for c in commands:
+            want[c["instrument"]] += plain[c["instrument"]].run(c)
+    v = e.view()
+    for name in "xy":
+        got = v.table(B.REPORTS).where(f"instrument = '{name}'").orderBy("seq", "n").collect()
+        assert [tuple(x)[3:] for x in got] == want[name]
+        live = {x["order_id"]: (x["remaining"], x["price_ticks"]) for x in ob.open_orders(v.table(B.ORDERS)).where(f"instrument = '{name}'").collect()}
+        assert live == {o["order_id"]: (o["remaining"], o["price_ticks"]) for s in plain[name].levels.values() for lv in s.values() for o in lv.values()}
+    head, depth = e.head, ob.depth(ob.open_orders(v.table(B.ORDERS)), 3).count()
+    with pytest.raises(errors.ValidationError):  # refused as a whole
+        e.commit({"kind": "kv_del", "key": b"batch"}, {"kind": "order_book", "strict": True, "commands": [order(900, "bid", 100, 3) | {"instrument": "y"}]})
+    with pytest.raises(errors.AssertionFailed):
+        e.commit({"kind": "order_book", "commands": [order(901, "bid", 100, 2) | {"instrument": "y"}]}, assertions=[{"kind": "key_exists", "key": b"none"}])
+    assert e.head == head and ob.depth(ob.open_orders(e.view().table(B.ORDERS)), 3).count() == depth
+    e.commit({"kind": "order_book", "commands": [order(0, None, None, 1, action="halt") | {"instrument": "x"}]})
+    e.commit({"kind": "order_book", "commands": [order(902, "bid", 100, 2) | {"instrument": "x"}]})
+    assert ob.last_report(e.view().table(B.REPORTS), "x").first()["reason"] == "halted"
+    e.commit({"kind": "book_instrument", "instrument": "x", "drop": True})
+    assert e.view().table(B.ORDERS).where("instrument = 'x'").isEmpty() and not e.view().table(B.ORDERS).isEmpty()
+    with pytest.raises(errors.ValidationError):
+        e.commit({"kind": "upsert", "table": B.OWNERS, "rows": []})
+
+
 def test_nonce_client_halt():
     b = ob.Book()
     run(b, order(1, "bid", 90, 1, nonce=5, owner="x", client_id="c"))
