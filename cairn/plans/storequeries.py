@@ -261,3 +261,226 @@ def _pages(e, s, d):
         page = v.page(q, cursor=cursor)
         cursor = page.cursor
     return s.createDataFrame([tuple(r) for r in page.rows], "id long, bal long")
+
+
+# --- small stores: outcomes as rows --------------------------------------------------------------------------------
+def _outcome(name: str, columns: str, sql: str):
+    """Registers f(engine, spark, sf_dir) -> list of tuples, on a store with customers."""
+
+    def put(f):
+        _QUERIES[name] = lambda s, d: s.createDataFrame([tuple(r) for r in f(store(s, d), s, d)], columns)
+        _SQL[name] = sql
+        return f
+
+    return put
+
+
+def _code(do) -> str:
+    try:
+        do()
+    except (errors.QueryError, errors.EngineError) as e:
+        return e.code
+    return "ok"
+
+
+@_outcome("store_kv_scopes", "ns string, k string, v string", "SELECT * FROM (VALUES ('main/app', 'a', '1'), ('main/x', 'a', '2'), ('main/x', 'b', '3')) t(ns, k, v)")
+def _kv_scopes(e, s, d):
+    put = lambda ns, k, v: {"kind": "kv_set", "ns": ns, "key": k, "value": v}
+    e.ddl({"op": "enable_kv_projection", "namespace": "main/x"})
+    e.commit(put("main/app", b"a", b"1"), put("main/x", b"a", b"2"), put("main/x", b"b", b"3"), put("other/app", b"a", b"4"), put("main/x", b"c", b"5"))
+    e.commit({"kind": "kv_del", "ns": "main/x", "key": b"c"})
+    v = e.view()
+    held = {(f"{r['project_id']}/{r['scope_id']}", bytes(r["key"])) for r in v.kv_projection("main/x").collect()}
+    return [(r["ns"], r["key"].decode(), bytes(r["value"]).decode()) for r in v.kv_project("main").collect() if r["ns"] != "main/x" or (r["ns"], bytes(r["key"])) in held]
+
+
+@_outcome("store_introspection", "what string, n long", "SELECT 'rows' AS what, count(*) AS n FROM customer UNION ALL SELECT 'columns', 5 UNION ALL SELECT 'projects', 1 UNION ALL SELECT 'indexes', 1 UNION ALL SELECT 'exists', 1 UNION ALL SELECT 'commits', 4")
+def _introspection(e, s, d):
+    e.ddl({"op": "create_project", "project": "p2"})
+    e.ddl({"op": "create_index", "table": "main/app/cust", "index": "by_seg", "columns": ["seg"]})
+    v = e.view()
+    (t,) = v.tables()
+    return [("rows", t["rows"]), ("columns", len(v.describe("cust")["columns"])), ("projects", len(v.projects())), ("indexes", len(t["indexes"])), ("exists", int(v.exists("cust") and not v.exists("none"))), ("commits", e.head)]
+
+
+@_outcome("store_global_table", "scope string, n long", "SELECT scope, n FROM (VALUES ('app'), ('x')) t(scope), (SELECT count(*) AS n FROM nation)")
+def _global(e, s, d):
+    e.ddl({"op": "create_table", "table": "_global.nation", "columns": [{"name": "id", "type": "integer"}, {"name": "name", "type": "text"}], "primary_key": ["id"]})
+    n = s.read.parquet(f"{d.rstrip('/')}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    e.commit({"kind": "insert", "table": "_global.nation", "rows": n})
+    return [(scope, e.view(scope=scope).table("_global.nation").count()) for scope in ("app", "x")]
+
+
+_REFUSED = {
+    "same key": "duplicate_primary_key", "unique": "constraint_violation", "null": "type_mismatch", "type": "type_mismatch", "unknown column": "validation", "limit 0": "validation", "key column": "validation", "no row": "not_found",
+    "postflight": "assertion_failed", "no table": "table_not_found", "group without aggregate": "invalid_query", "literal": "type_mismatch", "no permission": "permission_denied", "system table": "validation", "overflow": "overflow", "cursor": "invalid_cursor",
+    "foreign key": "constraint_violation", "check": "constraint_violation", "bound": "scan_bound_exceeded", "depth": "invalid_query",
+}
+
+
+@_outcome("store_refusals", "what string, code string, commits long", "SELECT *, 3::BIGINT AS commits FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _REFUSED.items()) + ") t(what, code)")
+def _refusals(e, s, d):
+    from cairn.plans import paging
+
+    e.ddl({"op": "create_table", "table": "main/app/kid", "columns": [{"name": "id", "type": "integer"}, {"name": "cust", "type": "integer"}], "primary_key": ["id"], "fks": [{"columns": ["cust"], "table": "main/app/cust", "references": ["id"]}], "checks": [E.to_json(col("id").gt(0))]})
+    ok = {"id": -1, "name": "n", "seg": "s", "nation": 1, "bal": 1}
+    up = lambda **more: {"kind": "upsert", "table": "cust", "rows": [{**ok, **more}]}
+    v, q = e.view(), Query.select("id").from_("cust")
+    deep = col("id").eq(1)
+    for _ in range(300):
+        deep = ~deep
+    tries = {
+        "same key": lambda: e.commit({"kind": "insert", "table": "cust", "rows": [{**ok, "id": 1}]}),
+        "unique": lambda: e.commit({"kind": "insert", "table": "cust", "rows": [ok, {**ok, "id": -2}]}),
+        "null": lambda: e.commit(up(nation=None)),
+        "type": lambda: e.commit(up(bal=1.5)),
+        "unknown column": lambda: e.commit(up(x=1)),
+        "limit 0": lambda: e.commit({"kind": "delete_where", "table": "cust", "where": col("id").gt(0), "limit": 0}),
+        "key column": lambda: e.commit({"kind": "update_where", "table": "cust", "where": col("id").gt(0), "updates": {"id": 1}}),
+        "no row": lambda: e.commit({"kind": "update_fields", "table": "cust", "key": [-9], "updates": {"bal": 1}}),
+        "postflight": lambda: e.commit({"kind": "delete", "table": "cust", "keys": [(1,)]}, {"kind": "postflight", "assertions": [{"kind": "row_exists", "table": "cust", "key": [1]}]}),
+        "no table": lambda: v.query(Query.select("id").from_("none")),
+        "group without aggregate": lambda: v.query(q.group_by("id")),
+        "literal": lambda: v.query(q.where_(col("id").eq("x"))),
+        "no permission": lambda: e.view(caller="nobody").query(q),
+        "system table": lambda: e.commit({"kind": "upsert", "table": "_system/app/kv", "rows": []}),
+        "overflow": lambda: e.commit({"kind": "kv_number", "key": b"n", "op": "add", "amount": 1 << 64}),
+        "cursor": lambda: v.page(q, cursor="none"),
+        "foreign key": lambda: e.commit({"kind": "insert", "table": "kid", "rows": [{"id": 1, "cust": -7}]}),
+        "check": lambda: e.commit({"kind": "insert", "table": "kid", "rows": [{"id": -1, "cust": 1}]}),
+        "bound": lambda: v.page(q, policy=paging.Policy(allow_full_scan=False)),
+        "depth": lambda: v.query(q.where_(deep)),
+    }
+    assert set(tries) == set(_REFUSED)
+    return [(k, _code(f), e.head) for k, f in tries.items()]
+
+
+@_outcome("store_wide_numbers", "k string, v string", "SELECT 'table' AS k, '1000000000000000000000000000000000000005' AS v UNION ALL SELECT 'kv', '999999999999999999999999999999999999999' UNION ALL SELECT 'sum holds', 'True' UNION ALL SELECT 'counter', '120'")
+def _wide(e, s, d):
+    from cairn.functions.wideint import from_u256, u256
+
+    big = 10**39
+    e.ddl({"op": "create_table", "table": "main/app/w", "columns": [{"name": "id", "type": "integer"}, {"name": "v", "type": "u256"}], "primary_key": ["id"]})
+    e.commit({"kind": "insert", "table": "w", "rows": [{"id": 1, "v": u256(5)}, {"id": 2, "v": u256(7)}]}, {"kind": "kv_number", "key": b"k", "width": 32, "op": "add", "amount": big})
+    e.commit({"kind": "table_add_u256", "table": "w", "key": [1], "column": "v", "amount": big}, {"kind": "kv_number", "key": b"k", "width": 32, "op": "sub", "amount": 1}, *({"kind": "counter_add", "key": b"c", "amount": i, "hint": i} for i in range(16)))
+    holds = _code(lambda: e.commit({"kind": "kv_set", "key": b"x", "value": b"1"}, assertions=[{"kind": "sum_compare", "table": "w", "column": "v", "op": "=", "threshold": big + 12}])) == "ok"
+    return [("table", str(from_u256(bytes(e.view().table("w").where("id = 1").first()["v"])))), ("kv", str(from_u256(e.view().kv_get(b"k")))), ("sum holds", str(holds)), ("counter", str(e.view().counter(b"c")))]
+
+
+@_outcome("store_mutate_returning", "id long, before string, after string", f"SELECT id, seg AS before, 'taken' AS after FROM {_CUST} WHERE nation = 7 ORDER BY id LIMIT 3")
+def _returning(e, s, d):
+    out = []
+    for _ in range(3):
+        before, after = tasks.mutate_returning(e, "cust", col("nation").eq(7) & col("seg").ne("taken"), {"seg": "taken"})
+        out.append((before["id"], before["seg"], after["seg"]))
+    return out
+
+
+@_outcome("store_queue", "name string, place long", "SELECT n_name AS name, row_number() OVER (ORDER BY n_regionkey DESC, n_nationkey) - 1 AS place FROM nation QUALIFY place < 8")
+def _queue(e, s, d):
+    q = tasks.Queue(e, "q")
+    for r in s.read.parquet(f"{d.rstrip('/')}/nation.parquet").orderBy("n_nationkey").collect():  # 25 rows
+        q.enqueue(r["n_name"], priority=r["n_regionkey"], now=0)
+    q.enqueue("later", priority=99, delay_ms=1000, now=0)
+    got = q.claim(8, "w", 100, now=10)
+    q.complete(got[0]["id"], got[0]["token"])
+    return [(j["payload"], i) for i, j in enumerate(got)]
+
+
+@_outcome("store_leases_effects", "what string, got string", "SELECT * FROM (VALUES ('first owner', '1'), ('second owner', 'None'), ('after expiry', '2'), ('stale token', 'fencing_lost'), ('checkpoint back', 'validation'), ('effect', 'fresh'), ('effect again', 'in_progress'), ('effect done', 'already_committed'), ('done', '1'), ('state', '4'), ('series', '[3, 2]'), ('projection', 'b=3')) t(what, got)")
+def _leases(e, s, d):
+    lease, m, fx = tasks.Lease(e, "l"), tasks.Monitor(e, "m"), tasks.Effects(e)
+    out = [("first owner", lease.acquire("a", 100, now=0)), ("second owner", lease.acquire("b", 100, now=50)), ("after expiry", lease.acquire("b", 100, now=200)), ("stale token", _code(lambda: lease.renew("a", 1, 100, now=201)))]
+    token = m.acquire("a", 1000, now=0)
+    m.advance("a", token, 5, now=1)
+    out.append(("checkpoint back", _code(lambda: m.advance("a", token, 4, now=2))))
+    out += [("effect", fx.begin("x")[0]), ("effect again", fx.begin("x")[0])]
+    fx.complete("x", {"r": 1})
+    out += [("effect done", fx.begin("x")[0]), ("done", {r["status"]: r["count"] for r in fx.by_status().collect()}["done"])]
+    e.ddl({"op": "create_table", "table": "main/app/st", "columns": [{"name": "id", "type": "integer"}, {"name": "n", "type": "integer"}], "primary_key": ["id"]})
+    k = tasks.KeyedState(e, "st")
+    k.write(1, {"n": 1})
+    k.update(1, lambda r: {**r, "n": r["n"] + 3})
+    series, p = tasks.Series(e, "s", 2), tasks.Projection(e, "p")
+    for i in range(4):
+        series.append(i)
+    p.put("b", 1)
+    p.put("b", 3)
+    out += [("state", k.read_field(1, "n")), ("series", series.read(newest_first=True)), ("projection", ",".join(f"{a}={b}" for a, b in p.list()))]
+    return [(a, str(b)) for a, b in out]
+
+
+@_outcome("store_processor", "what string, got string", "SELECT * FROM (VALUES ('handled', '6'), ('seen', 'a0,a1,a2,b0,b1,b2'), ('lag', '0'), ('dead', '1'), ('status', 'healthy'), ('paused', '0'), ('listed', 'p:paused')) t(what, got)")
+def _processor(e, s, d):
+    import json
+
+    from cairn.streaming import processors as P
+
+    for i in range(3):
+        e.commit(*({"kind": "emit", "topic": "t", "key": f"{x}{i}", "payload": {}} for x in "ab"), {"kind": "emit", "topic": "u", "key": "z", "payload": {}})
+    seen: list[str] = []
+
+    def handler(rows):
+        keys = [r["event_key"] for r in rows.collect()]
+        if "bad" in keys:
+            raise RuntimeError("bad")
+        seen.extend(keys)
+        return [{"kind": "kv_set", "key": b"seen", "value": json.dumps(sorted(seen)).encode()}]
+
+    p = P.Processor(e, "p", handler, P.Options(topic="t", max_events=3, max_retries=1, retry_backoff_ms=1, run_on_interval=False))
+    handled = p.run_until_idle()
+    e.commit({"kind": "emit", "topic": "t", "key": "bad", "payload": {}})
+    p.run_once()
+    out = [("handled", handled), ("seen", ",".join(json.loads(e.view().kv_get(b"seen")))), ("lag", p.lag()), ("dead", len(p.dead_letters())), ("status", p.slo()["status"])]
+    p.pause()
+    out += [("paused", p.run_once()), ("listed", ",".join(f"{x['processor']}:{x['state']}" for x in P.list_processors(e)))]
+    return [(a, str(b)) for a, b in out]
+
+
+@_outcome("store_lifecycle", "commit_seq long, op string", "SELECT * FROM (VALUES (1::BIGINT, 'create_table'), (3, 'create_index'), (4, 'alter_table'), (5, 'record_migration'), (5, 'alter_table'), (6, 'forget_migration'), (6, 'alter_table')) t(commit_seq, op)")
+def _lifecycle(e, s, d):
+    import json
+
+    e.ddl({"op": "create_index", "table": "main/app/cust", "index": "i", "columns": ["seg"]})
+    e.ddl({"op": "alter_table", "table": "main/app/cust", "change": "rename_column", "column": "seg", "to": "segment"})
+    add = {"op": "alter_table", "table": "main/app/cust", "change": "add_column", "column": {"name": "note", "type": "text"}}
+    m = [{"version": 1, "name": "note", "up": [add], "down": [{"op": "alter_table", "table": "main/app/cust", "change": "drop_column", "column": "note"}]}]
+    e.migrate(m)
+    e.rollback(m, 0)
+    return [(r["commit_seq"], json.loads(r["event"])["op"]) for r in e.lifecycle().collect()]
+
+
+@_outcome("store_pages", "what string, n long", "SELECT 'default page' AS what, least(count(*), 100) AS n FROM customer UNION ALL SELECT 'more', CAST(count(*) > 100 AS BIGINT) FROM customer UNION ALL SELECT 'examined', least(count(*), 101) FROM customer UNION ALL SELECT 'ids over pages', count(*) FROM customer WHERE c_nationkey < 3 UNION ALL SELECT 'total', count(*) FROM customer WHERE c_nationkey < 3 UNION ALL SELECT 'exists', 1 UNION ALL SELECT 'batch', 2 UNION ALL SELECT 'seq', 2")
+def _page_facts(e, s, d):
+    from cairn.plans import paging
+
+    v = e.view()
+    one = v.page(Query.select("id").from_("cust"))
+    q, ids, cursor = Query.select("id").from_("cust").where_(col("nation").lt(3)).order_by("bal").limit(40), [], None
+    while True:
+        page = v.page(q, cursor=cursor)
+        e.commit({"kind": "kv_set", "key": b"between", "value": b"1"})  # later commits do not move a snapshot's pages
+        ids += [r["id"] for r in page.rows]
+        cursor = page.cursor
+        if cursor is None:
+            break
+    total = paging.list_with_total(q, v, seq=v.seq)[1]
+    return [("default page", len(one.rows)), ("more", int(one.truncated)), ("examined", one.rows_examined), ("ids over pages", len(set(ids))), ("total", total), ("exists", int(paging.exists(q, v))), ("batch", len(paging.batch([q, q], v))), ("seq", v.seq)]
+
+
+@_case("store_change_stream", f"SELECT id, 2::BIGINT AS seq, 'U' AS op FROM {_CUST} UNION ALL SELECT id, 3, 'D' FROM {_CUST} WHERE nation = 2 UNION ALL SELECT id, 5, 'U' FROM {_CUST} WHERE nation = 4")
+def _stream(e, s, d):
+    """The change stream into a table, in two runs with a checkpoint between."""
+    from cairn.streaming import processors as P
+
+    out, at = scratch(s, "changes"), scratch(s, "offsets")
+    e.commit({"kind": "delete_where", "table": "cust", "where": col("nation").eq(2)})
+
+    def run() -> None:
+        P.for_each_batch(P.stream_changes(e, "cust"), lambda b, n: b.write.mode("append").parquet(out), at).awaitTermination()
+
+    run()
+    e.checkpoint()
+    e.commit({"kind": "update_where", "table": "cust", "where": col("nation").eq(4), "updates": {"bal": 1}})
+    run()
+    return s.read.parquet(out).select("id", F.col("_seq").alias("seq"), F.col("_op").alias("op"))
