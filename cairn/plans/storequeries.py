@@ -371,8 +371,9 @@ def _wide(e, s, d):
 def _returning(e, s, d):
     out = []
     for _ in range(3):
-        before, after = tasks.mutate_returning(e, "cust", col("nation").eq(7) & col("seg").ne("taken"), {"seg": "taken"})
-        out.append((before["id"], before["seg"], after["seg"]))
+        got = tasks.mutate_returning(e, "cust", col("nation").eq(7) & col("seg").neq("taken"), {"seg": "taken"})
+        if got is not None:
+            out.append((got[0]["id"], got[0]["seg"], got[1]["seg"]))
     return out
 
 

@@ -266,7 +266,8 @@ class Engine:
 
     def ddl(self, *ops: dict, by_dependency: bool = False) -> list[bool]:
         """Applies DDL in one commit; tells for each whether it changed anything."""
-        ops = C.order_by_dependency(list(ops)) if by_dependency else list(ops)
+        ops = [{**o, "table": C.full_name(o["table"])} if "table" in o else o for o in ops]
+        ops = C.order_by_dependency(ops) if by_dependency else ops
         cat, out = self.catalog(self.refresh()), []
         for op in ops:
             cat, changed = C.apply_ddl(cat, op)
