@@ -37,8 +37,9 @@ from .common import CHUNK_BYTES, cut, sliced, text_bytes, written
 WINDOW, GRAM = 35, 8
 #: A longer text is scanned in pieces of so many words, with an overlap.
 PIECE = 1 << 20
-#: Strings of a minimiser that are counted in one task; beyond, their windows are counted one by one.
-HOT = 2048
+#: Strings of a minimiser that are counted in one task; beyond, their windows are counted one by one. One in HOT_MOST of all strings always may,
+#: so there are never more than HOT_MOST hot minimisers, and these (eight bytes each) can be broadcast.
+HOT, HOT_MOST = 2048, 1_000_000
 _POS = np.uint64(22)
 
 
@@ -269,15 +270,16 @@ def _verdict_rows(strings: DataFrame, window: int, hot: int) -> DataFrame:
     def distinct(df: DataFrame) -> DataFrame:
         return df.groupBy("g", "sid").agg(F.first("packed").alias("packed"), F.count(F.lit(1)).alias("k")).select("g", "sid", "packed", "k")
 
-    many = cut(strings.groupBy("g").count().where(F.col("count") > hot).select(F.col("g").alias("many")))
+    least = max(hot, strings.count() // HOT_MOST)
+    many = cut(strings.groupBy("g").count().where(F.col("count") > least).select(F.col("g").alias("many")))
     if many.isEmpty():
         few = strings
     else:
-        few = strings.join(many, F.col("g") == F.col("many"), "left_anti")
+        few = strings.join(F.broadcast(many), F.col("g") == F.col("many"), "left_anti")
     counted = distinct(few).repartition("g").sortWithinPartitions("g", "sid").mapInArrow(_counted(window), "vg long, vsid binary, offsets array<int>")
     if many.isEmpty():
         return counted
-    rows = written(distinct(strings.join(many, F.col("g") == F.col("many"), "left_semi")).mapInArrow(_unpacked(window), "g long, sid binary, offset int, text binary, k long"), "hot-windows")
+    rows = written(distinct(strings.join(F.broadcast(many), F.col("g") == F.col("many"), "left_semi")).mapInArrow(_unpacked(window), "g long, sid binary, offset int, text binary, k long"), "hot-windows")
     again = cut(rows.groupBy("g", "text").agg(F.sum("k").alias("n")).where("n > 1").select(F.col("g").alias("ag"), F.col("text").alias("again")))
     met = rows.join(again, (F.col("g") == F.col("ag")) & (F.col("text") == F.col("again")), "left_semi")
     return counted.union(met.groupBy(F.col("g").alias("vg"), F.col("sid").alias("vsid")).agg(F.collect_list("offset").alias("offsets")))
