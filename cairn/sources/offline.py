@@ -59,15 +59,9 @@ def restore(spark: SparkSession, dump: str, root: str) -> Engine:
     if engine.refresh():
         raise ValidationError(f"{root} holds a store already")
     cat = d["catalog"]
-    make = C.order_by_dependency([{"op": "create_table", "table": t, **{k: x[k] for k in ("columns", "primary_key", "unique", "checks", "defaults", "fks", "owner")}} for t, x in cat["tables"].items()])
     ops = [{"op": "create_project", "project": p, "owner": x["owner"]} for p, x in cat["projects"].items()]
     ops += [{"op": "create_scope", "project": p, "scope": s} for p, x in cat["projects"].items() for s in x["scopes"] if s != "app"]
-    ops += make
-    for t, x in cat["tables"].items():
-        hashed = [i["columns"] for i in x["indexes"].values() if i["kind"] == "unique_hash"]
-        ops += [{"op": "alter_table", "table": t, "change": "drop_unique", "columns": c} for c in hashed]  # made again with its index
-        ops += [{"op": f"create_{kind}index", "table": t, "index": n, **i} for kind, of in (("", "indexes"), ("async_", "async_indexes")) for n, i in x[of].items()]
-        ops += [{"op": "set_read_policy", "table": t, "policy": x["policy"]}] if x["policy"] else []
+    ops += C.remake(cat["tables"])
     ops += [{"op": "grant", "caller": who, "permission": p, "on": on} for who, held in cat["permissions"].items() for p, on in held]
     ops += [{"op": "enable_kv_projection", "namespace": n} for n in cat["kv_projections"]]
     ops += [{"op": "record_migration", "version": v, **m} for v, m in cat["migrations"].items()]

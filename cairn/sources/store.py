@@ -426,8 +426,8 @@ class Engine:
         there, here = source.catalog(seq)["tables"], self.catalog(self.refresh())["tables"]
         drops = [{"op": "drop_table", "table": t} for t in _children_first({t: x for t, x in here.items() if inside(t)})]
         names = [t for t in there if inside(t)]
-        makes = C.order_by_dependency([{"op": "create_table", "table": t, **{k: there[t][k] for k in ("columns", "primary_key", "unique", "checks", "defaults", "fks", "owner")}} for t in names])
-        rows = [{"kind": "upsert", "table": o["table"], "rows": source.table_at(o["table"], seq)} for o in makes]
+        makes = C.remake({t: there[t] for t in names})
+        rows = [{"kind": "upsert", "table": o["table"], "rows": source.table_at(o["table"], seq)} for o in makes if o["op"] == "create_table"]
         under = F.col("ns").startswith(f"{namespace}/") | (F.col("ns") == namespace)
         old = {(r["ns"], bytes(r["key"])) for r in self.table_at(KV_TABLE, len(self.entries)).where(under).select("ns", "key").toLocalIterator()}
         kv = [{"kind": "kv_set", "ns": r["ns"], "key": bytes(r["key"]), "value": bytes(r["value"])} for r in source.table_at(KV_TABLE, seq).where(under).toLocalIterator()]
