@@ -52,8 +52,11 @@ class LogFiles:
             raise
         return True
 
+    def exists(self, name: str) -> bool:
+        return bool(self.fs.exists(self._at(name)))
+
     def names(self) -> list[str]:
-        return sorted(n for s in self.fs.listStatus(self.path) if not (n := s.getPath().getName()).startswith("."))
+        return sorted(n for s in self.fs.listStatus(self.path) if (n := s.getPath().getName()).endswith(".json") and not n.startswith("."))
 
     def read(self, name: str) -> str:
         stream = self.fs.open(self._at(name))

@@ -85,13 +85,21 @@ class Engine:
 
     # --- log ------------------------------------------------------------------------------------
     def refresh(self) -> int:
-        for name in self.log.names()[len(self.entries) :]:
+        """Reads what others have committed. A store that is open asks for the next entry by name; only opening lists the log."""
+        for name in self._new():
             text = self.log.read(name)
             entry = json.loads(text)
             entry["hash"] = hashlib.sha256(text.encode()).hexdigest()
             self.entries.append(entry)
         return len(self.entries)
 
+    def _new(self):
+        if not self.entries:
+            yield from self.log.names()
+            return
+        while self.log.exists(name := f"{len(self.entries) + 1:020d}.json"):
+            yield name
+
     head = property(lambda self: self.refresh())
 
     def catalog(self, seq: int | None = None) -> dict:
