@@ -32,7 +32,7 @@ def tables(spark, tmp_path_factory):
     docs += [(312, prose(1500) + " " + " ".join(items[4][1].split()[5:25]) + " " + prose(1500)), (None, prose(120)), (313, prose(90)), (313, None), (314, prose(6000))]
     docs += [docs[3], docs[3]]
     labels = [(i, 1, 0) for i in range(0, 120, 2)] + [(200 + i, 0, 0) for i in range(0, 60, 2)]
-    spark.createDataFrame([(i, t, "en", f"s{i % 4}", len(t or ""), "clash") for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long, words string").write.parquet(str(d / "documents.parquet"))
+    spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 4}", len(t or ""), "clash") for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long, words string").write.parquet(str(d / "documents.parquet"))
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(d / "benchmark.parquet"))
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
     return str(d)
