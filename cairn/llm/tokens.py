@@ -13,7 +13,7 @@ met lately are remembered (a bounded number), and ids are gathered by index. A t
 space around a space is encoded as a whole.
 
 Defined cases: null is the empty text, which has only the end id; rows with equal doc_id follow
-each other by text; a null doc_id comes first; other columns are ignored; an empty table gives no
+each other by text; a null doc_id comes first; a very long text is worked on in parts; other columns are ignored; an empty table gives no
 rows and no ids.
 """
 
@@ -34,6 +34,8 @@ from .storage import new_file, open_dir
 SEQUENCE, END_ID = 2048, 0
 #: Words of a generation that a Python worker remembers, some 220 bytes each, two generations; and new words that are encoded in one call.
 REMEMBERED, TOGETHER = 300_000, 64
+#: Characters after which a longer text is cut at a space.
+PART = 4 << 20
 #: Sequences of a record batch.
 ROWS = 512
 _SCHEMA = "part int, path string, index string, n_docs long, n_tokens long"
@@ -115,16 +117,16 @@ class Encoder:
         new.update(self._learn(missing))
         return list(map(new.__getitem__, words))
 
-    def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of texts that may be cut at their spaces, one after another, and how many each has."""
+    def _cut(self, texts: list[str], spaced: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that may be cut at their spaces, one after another, and how many each has; spaced ones have a space before them."""
         pieces = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         at = pieces.offsets.to_numpy().astype(np.int64)
         flat = pieces.flatten().dictionary_encode()
         code = flat.indices.to_numpy().copy()
-        first = code[at[:-1]]  # the first piece has no space before it
-        heads, which = np.unique(first, return_inverse=True)
+        bare = at[:-1][~np.array(spaced, bool)]  # a first piece without a space before it
+        heads, which = np.unique(code[bare], return_inverse=True)
         words = flat.dictionary.to_pylist()
-        code[at[:-1]] = len(words) + which
+        code[bare] = len(words) + which
         known = self._known(words) + self._encode([words[k] for k in heads.tolist()])
         size = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
         table, start = np.frombuffer(b"".join(known), self.dtype), np.cumsum(size) - size
@@ -134,6 +136,29 @@ class Encoder:
         place += np.arange(ends[-1])
         return table[place], np.diff(np.r_[0, ends][at])
 
+    def _in_parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """_cut() of parts of bounded length, since ids in the making take several times the text's memory."""
+        parts, spaced, owner = [], [], []
+        for i, t in enumerate(texts):
+            lo = 0
+            while True:
+                hi = t.find(" ", lo + PART) if len(t) - lo > PART else -1
+                parts.append(t[lo : hi if hi >= 0 else len(t)])
+                spaced.append(lo > 0)
+                owner.append(i)
+                if hi < 0:
+                    break
+                lo = hi + 1
+        out, sizes, lo, held = [], [], 0, 0
+        for k, p in enumerate(parts):
+            held += len(p)
+            if held >= 2 * PART or k == len(parts) - 1:
+                ids, n = self._cut(parts[lo : k + 1], spaced[lo : k + 1])
+                out.append(ids)
+                sizes.append(n)
+                lo, held = k + 1, 0
+        return np.concatenate(out), np.bincount(owner, weights=np.concatenate(sizes), minlength=len(texts)).astype(np.int64)
+
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after another, each with the id `end` after it if given, and how many each has."""
         whole = [not self.plain or self._whole(t) for t in texts]
@@ -143,7 +168,7 @@ class Encoder:
             parts[i] = np.frombuffer(ids, self.dtype)
         rest = [i for i, w in enumerate(whole) if not w]
         if rest:
-            ids, n = self._cut([texts[i] for i in rest])
+            ids, n = self._in_parts([texts[i] for i in rest])
             if len(rest) == len(texts):
                 out, size = ids, n
             else:

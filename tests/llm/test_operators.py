@@ -476,9 +476,12 @@ def test_tokens(docs, none, tmp_path):
     assert tokens.tokenised(none).count() == 0
 
 
-def test_encoder_pieces():
+@pytest.mark.parametrize("part", [tokens.PART, 37, 1])
+def test_encoder_pieces(monkeypatch, part):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(tokens, "PART", part)
+
     tk, e = Tokenizer.from_file(tokens.default_path()), tokens.Encoder(tokens.default_path(), remembered=50)
     texts = ["a  b", "x <|endoftext|> y", "foo<|endoftext|>bar baz", " lead", "trail ", "", "don't I'll\n\n x", " ", "日本 語", "a\xa0b c", "it's 12 34!! é’s", " \n", "x, y; z?", "été, à"] + [sentence(90) + R.choice([",", "!", ""]) for _ in range(40)]
     for _ in range(2):
