@@ -5,13 +5,15 @@ it; consecutive windows that share one minimiser form a super-k-mer. Equal windo
 minimisers, so a minimiser that belongs to one super-k-mer only, and stands at one place in it,
 cannot hide a repeat: those never travel. The others are cut out of the text as one packed string, go to the
 bucket of their minimiser, and there the windows of the distinct strings are sorted and counted
-byte for byte. Words under a repeated window are removed.
+byte for byte; those of an overfull bucket are counted by their 128-bit BLAKE2b digests. Words under a
+repeated window are removed.
 
 Steps: (1) minimiser runs of every text; least and greatest place by minimiser, combined before they
 are dealt, tell which minimisers have company, and a join that Spark may split keeps their runs;
 (2) one copy of each distinct text cuts the strings; (3) strings are collapsed, then counted per
-bucket; a minimiser with more than HOT strings has no bucket: its strings are unpacked into windows,
-which are counted by themselves, combined before they are dealt; (4) verdicts return to the texts.
+bucket; a minimiser whose strings weigh more than HOT (one each and one for every UNIT bytes of their
+windows) has no bucket: its strings are unpacked into digests of windows, which are counted by
+themselves, combined before they are dealt; (4) verdicts return to the texts.
 Exact copies of whole texts are recognised by SHA-256 and take part once, so a group of copies is
 never gathered in one task.
 
@@ -37,9 +39,14 @@ from .common import CHUNK_BYTES, cut, sliced, text_bytes, written
 WINDOW, GRAM = 35, 8
 #: A longer text is scanned in pieces of so many words, with an overlap.
 PIECE = 1 << 20
-#: Strings of a minimiser that are counted in one task; beyond, their windows are counted one by one. One in HOT_MOST of all strings always may,
-#: so there are never more than HOT_MOST hot minimisers, and these (eight bytes each) can be broadcast.
+#: Weight of the strings of a minimiser that are counted in one task; beyond, their windows are counted one by one. One in HOT_MOST of all weight
+#: always may, so there are never more than HOT_MOST hot minimisers, and these (eight bytes each) can be broadcast.
 HOT, HOT_MOST = 2048, 1_000_000
+#: A string weighs one, and one more for every UNIT bytes that its windows take in Python: their words and WINDOW_BYTES each. So a bucket takes
+#: HOT * UNIT bytes (16 MB) at most, however long its strings are.
+UNIT, WINDOW_BYTES = 8192, 160
+#: Windows in an Arrow batch.
+BATCH = 1 << 16
 _POS = np.uint64(22)
 
 
@@ -139,8 +146,10 @@ def _cut_strings(window: int):
                 at = np.r_[0, np.fromiter(accumulate(len(w) + 1 for w in words), np.int64, len(words))] if words else np.zeros(1, np.int64)
                 ok = start + n + window - 1 <= len(words)  # two texts may share the short hash
                 g, start, n = g[ok], start[ok], n[ok]
+                cost = np.r_[0, np.cumsum(at[window:] - at[:-window] + WINDOW_BYTES)]
+                weight = 1 + (cost[start + n] - cost[start]) // UNIT
                 lo, hi = at[start].tolist(), (at[start + n + window - 1] - 1).tolist()
-                cols.append((key, g, start, n, [joined[x:y] for x, y in zip(lo, hi, strict=True)]))
+                cols.append((key, g, start, weight, [joined[x:y] for x, y in zip(lo, hi, strict=True)]))
                 size += sum(hi) - sum(lo)
                 if size >= CHUNK_BYTES:
                     yield _strings(cols)
@@ -160,31 +169,39 @@ def _strings(cols):
             pa.array([c[0] for c in cols for _ in c[4]], pa.binary()),
             pa.array(np.concatenate([c[2] for c in cols])),
             pa.array(s, pa.binary()),
+            pa.array(np.concatenate([c[3] for c in cols])),
         ],
-        names=["g", "sid", "key", "start", "packed"],
+        names=["g", "sid", "key", "start", "packed", "weight"],
     )
 
 
-def _windows_of(packed: bytes, window: int) -> list[bytes]:
-    w = packed.split(b" ")
-    at = [0, *accumulate(len(x) + 1 for x in w)]
-    return [packed[at[j] : at[j + window] - 1] for j in range(len(w) - window + 1)]
+def _windows_of(packed: bytes, window: int):
+    """The windows of a string, one at a time: together they are `window` times its size."""
+    at = [0, *accumulate(len(x) + 1 for x in packed.split(b" "))]
+    for j in range(len(at) - window):
+        yield packed[at[j] : at[j + window] - 1]
 
 
 def _unpacked(window: int):
-    """Rows (g, sid, offset, text, k) of the windows of each string."""
+    """Rows (g, sid, offset, digest, k) of the windows of each string."""
+
+    def rows(b, own, offset, digest):
+        at = pa.array(own, pa.int64())
+        return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(offset, pa.int32()), pa.array(digest, pa.binary()), b.column(3).take(at)], names=["g", "sid", "offset", "digest", "k"])
 
     def run(batches):
         for b in batches:
-            for lo, hi in sliced(b.column(2), CHUNK_BYTES // 16):  # a word is in `window` windows
-                own, offset, text = [], [], []
-                for i in range(lo, hi):
-                    found = _windows_of(b.column(2)[i].as_py(), window)
-                    own += [i] * len(found)
-                    offset += range(len(found))
-                    text += found
-                at = pa.array(own, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(offset, pa.int32()), pa.array(text, pa.binary()), b.column(3).take(at)], names=["g", "sid", "offset", "text", "k"])
+            own, offset, digest = [], [], []
+            for i, packed in enumerate(b.column(2)):
+                for j, text in enumerate(_windows_of(packed.as_py(), window)):
+                    own.append(i)
+                    offset.append(j)
+                    digest.append(hashlib.blake2b(text, digest_size=16).digest())
+                    if len(own) >= BATCH:
+                        yield rows(b, own, offset, digest)
+                        own, offset, digest = [], [], []
+            if own:
+                yield rows(b, own, offset, digest)
 
     return run
 
@@ -203,18 +220,20 @@ def _counted(window: int):
             yield g, strings[i][0], js
 
     def run(batches):
-        g0, held, out = None, [], []
+        g0, held, out, size = None, [], [], 0
         for b in batches:
-            g, sid, packed, k = (b.column(i).to_pylist() for i in range(4))
-            for row in zip(g, sid, packed, k, strict=True):
-                if row[0] != g0:
-                    out += verdicts(g0, held) if held else ()
-                    g0, held = row[0], []
-                held.append(row[1:])
-                if len(out) >= 10_000:
-                    yield _verdicts(out)
-                    out = []
-        out += verdicts(g0, held) if held else ()
+            for lo, hi in sliced(b.column(2)):
+                for row in zip(*(c.slice(lo, hi - lo).to_pylist() for c in b.columns), strict=True):
+                    if row[0] != g0:
+                        for v in verdicts(g0, held):
+                            out.append(v)
+                            size += len(v[2])
+                        g0, held = row[0], []
+                    held.append(row[1:])
+                    if size >= BATCH:
+                        yield _verdicts(out)
+                        out, size = [], 0
+        out += verdicts(g0, held)
         if out:
             yield _verdicts(out)
 
@@ -270,8 +289,8 @@ def _verdict_rows(strings: DataFrame, window: int, hot: int) -> DataFrame:
     def distinct(df: DataFrame) -> DataFrame:
         return df.groupBy("g", "sid").agg(F.first("packed").alias("packed"), F.count(F.lit(1)).alias("k")).select("g", "sid", "packed", "k")
 
-    least = max(hot, strings.count() // HOT_MOST)
-    many = cut(strings.groupBy("g").count().where(F.col("count") > least).select(F.col("g").alias("many")))
+    least = max(hot, (strings.agg(F.sum("weight")).first()[0] or 0) // HOT_MOST)
+    many = cut(strings.groupBy("g").agg(F.sum("weight").alias("weight")).where(F.col("weight") > least).select(F.col("g").alias("many")))
     if many.isEmpty():
         few = strings
     else:
@@ -279,9 +298,9 @@ def _verdict_rows(strings: DataFrame, window: int, hot: int) -> DataFrame:
     counted = distinct(few).repartition("g").sortWithinPartitions("g", "sid").mapInArrow(_counted(window), "vg long, vsid binary, offsets array<int>")
     if many.isEmpty():
         return counted
-    rows = written(distinct(strings.join(F.broadcast(many), F.col("g") == F.col("many"), "left_semi")).mapInArrow(_unpacked(window), "g long, sid binary, offset int, text binary, k long"), "hot-windows")
-    again = cut(rows.groupBy("g", "text").agg(F.sum("k").alias("n")).where("n > 1").select(F.col("g").alias("ag"), F.col("text").alias("again")))
-    met = rows.join(again, (F.col("g") == F.col("ag")) & (F.col("text") == F.col("again")), "left_semi")
+    rows = written(distinct(strings.join(F.broadcast(many), F.col("g") == F.col("many"), "left_semi")).mapInArrow(_unpacked(window), "g long, sid binary, offset int, digest binary, k long"), "hot-windows")
+    again = cut(rows.groupBy("g", "digest").agg(F.sum("k").alias("n")).where("n > 1").select(F.col("g").alias("ag"), F.col("digest").alias("again")))
+    met = rows.join(again, (F.col("g") == F.col("ag")) & (F.col("digest") == F.col("again")), "left_semi")
     return counted.union(met.groupBy(F.col("g").alias("vg"), F.col("sid").alias("vsid")).agg(F.collect_list("offset").alias("offsets")))
 
 
@@ -300,7 +319,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     texts = cut(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     wanted = lists.join(texts.withColumn("h", short), F.col("th") == F.col("h")).select("rep", F.col("key").alias("k"), "runs")
     strings = written(
-        keyed.join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "t", "runs").mapInArrow(_cut_strings(window), "g long, sid binary, key binary, start long, packed binary"),
+        keyed.join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "t", "runs").mapInArrow(_cut_strings(window), "g long, sid binary, key binary, start long, packed binary, weight long"),
         "strings",
     )
 

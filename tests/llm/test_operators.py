@@ -254,6 +254,33 @@ def test_substring(docs, none, window, gram, hot):
     assert substring.substring_dedup(none, window, gram, hot).count() == 0
 
 
+def test_substring_few_long_strings(spark, monkeypatch):
+    """Near copies of a periodic text: few strings to a minimiser, but far too many windows for one bucket."""
+    period = [f"p{i}" for i in range(9)] * 300
+    texts = {i: period[:1500] + [f"own{i}"] + period[i:2700] for i in range(30)} | {99: sentence(400).split()}
+    seen = Counter(tuple(w[k : k + 35]) for w in texts.values() for k in range(len(w) - 34))
+    want = Counter()
+    for i, w in texts.items():
+        gone = {k + j for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for j in range(35)}
+        want[i, len(w), len(gone), hashlib.sha256(b" ".join(x.encode() for k, x in enumerate(w) if k not in gone)).hexdigest()] += 1
+    names = []
+    monkeypatch.setattr(substring, "written", lambda df, name: names.append(name) or common.written(df, name))
+    assert rows(substring.substring_dedup(spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string"))) == want
+    assert "hot-windows" in names
+
+
+def test_substring_windows_are_unpacked_in_bounded_batches():
+    import pyarrow as pa
+
+    words = [b"w%d" % (i % 50_000) for i in range(150_000)]
+    strings = pa.RecordBatch.from_arrays([pa.array([1, 1]), pa.array([b"a", b"b"]), pa.array([b" ".join(words), b" ".join(words[:40])]), pa.array([1, 2])], names=["g", "sid", "packed", "k"])
+    got = list(substring._unpacked(35)([strings]))
+    assert max(b.num_rows for b in got) <= substring.BATCH and max(b.nbytes for b in got) < common.CHUNK_BYTES
+    found = [(r["sid"], r["offset"], r["k"]) for b in got for r in b.to_pylist()]
+    assert found == [(b"a", j, 1) for j in range(150_000 - 34)] + [(b"b", j, 2) for j in range(6)]
+    assert len({d for b in got for d in b.column(3).to_pylist()}) == 50_000
+
+
 def test_minimiser_runs_in_pieces(monkeypatch):
     text = sentence(3000).encode()
     whole = substring.minimiser_runs([text])
