@@ -8,6 +8,7 @@ import decimal
 import hashlib
 import hmac
 import json
+from collections import deque
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Row
@@ -18,6 +19,8 @@ from cairn.plans.errors import InvalidCursor, InvalidQuery, ScanBoundExceeded
 from cairn.plans.query import Query, Scope, count, lower, validate
 
 DEFAULT_PAGE, MAX_SCAN_ROWS = 100, 10_000
+#: Rows that a run brings to the driver at once, and runs that a snapshot keeps.
+AHEAD, RUNS = 10_000, 4
 
 
 @dataclass(frozen=True)
@@ -40,6 +43,36 @@ class Page:
     rows_examined: int = 0
 
 
+class Run:
+    """A snapshot's rows in the order of a query's pages. Pages asked for one after another are cut from one sorted pass, which comes
+    to the driver about AHEAD rows at a time; only a page asked for out of turn is a query of its own."""
+
+    def __init__(self, df: DataFrame, order: list[tuple[str, bool]], shown: list[str]):
+        self.df, self.order, self.shown = df, order, shown
+        self.columns = [(F.col(f"`{c}`"), up) for c, up in order]
+        self.sort = [c.asc_nulls_first() if up else c.desc_nulls_last() for c, up in self.columns]
+        self.coming, self.held = None, deque()
+
+    def after(self, state: dict | None) -> DataFrame:
+        return self.df if state is None else self.df.where(after(self.columns, [_value(v) for v in state["sort"]]))
+
+    def page(self, state: dict | None, skip: int, size: int) -> list[Row]:
+        """The rows of one page and one more, if there is one."""
+        return self.after(state).orderBy(*self.sort).offset(skip).limit(size + 1).collect() if size else []
+
+    def go_on(self, state: dict, size: int) -> list[Row]:
+        """The same for the page that follows the last one."""
+        if self.coming is None:
+            rest = self.after(state)
+            self.coming = rest.repartitionByRange(max(1, -(-rest.count() // AHEAD)), *self.sort).sortWithinPartitions(*self.sort).toLocalIterator()
+        while len(self.held) <= size and (row := next(self.coming, None)) is not None:
+            self.held.append(row)
+        rows = [self.held[i] for i in range(min(size + 1, len(self.held)))]
+        for _ in rows[:size]:
+            self.held.popleft()
+        return rows
+
+
 def _plain(v):
     if isinstance(v, (bytes, bytearray)):
         return {"b": base64.b64encode(bytes(v)).decode()}
@@ -116,39 +149,48 @@ def execute_page(q: Query, source, caller: str | None = None, cursor: str | None
         raise InvalidQuery("distinct and cursor exclude each other")
     if q.take is None and q.where is None and not policy.allow_full_scan:
         raise ScanBoundExceeded("full scan without a limit")
-    if q.joins and not policy.allow_full_scan:
-        join_bound(q, source, policy.max_scan_rows)
     size, skip = page_window(q, policy)
-    plain = bool(q.aggregates or q.unique)
-    whole = replace(q, take=None, skip=None, order=() if not plain else q.order)
-    keys = [] if plain else list(source.primary_key(q.table)) if not q.joins else []
-    wide = whole if plain else replace(whole, columns=("*",))
-    df = lower(wide, source, caller)
-    scope = Scope({f.name: f for f in df.schema.fields})
-    order = [(scope.name(c), up) for c, up in q.order]
-    ties = [scope.name(k) for k in keys] or list(df.columns)
-    order += [(t, True) for t in ties if t not in [o for o, _ in order]]
-    columns = [(F.col(f"`{c}`"), up) for c, up in order]
-    left = q.take
+    plain, ahead, left, state = bool(q.aggregates or q.unique), getattr(source, "ahead", None), q.take, None
     if cursor:
         state = decode_cursor(cursor, policy.key)
         if state["seq"] != seq:
             raise InvalidCursor("cursor of another snapshot")
-        df = df.where(after(columns, [_value(v) for v in state["sort"]]))
         size, left = state["page"], state["left"]
-    df = df.orderBy(*((c.asc_nulls_first() if up else c.desc_nulls_last()) for c, up in columns))
-    rows = df.offset(skip).limit(size + 1).collect() if size else []
+    turn = (repr(q), caller, policy)
+    run = ahead.pop((cursor, *turn), None) if ahead and cursor else None
+    if run is not None:
+        rows = run.go_on(state, size)
+    else:
+        if q.joins and not policy.allow_full_scan:
+            join_bound(q, source, policy.max_scan_rows)
+        run = _run(q, source, caller, plain)
+        rows = run.page(state, skip, size)
     more, rows = len(rows) > size, rows[:size]
     token = None
     if more and rows and not plain:
         left = None if left is None else max(0, left - len(rows))
-        token = encode_cursor({"seq": seq, "sort": [_plain(rows[-1][c]) for c, _ in order], "page": size, "left": left}, policy.key)
-    shown = df.columns if q.columns in (("*",), ()) or plain else [scope.name(c) for c in q.columns] + [a for a, _ in q.computed]
-    out = [Row(*shown)(*(r[c] for c in shown)) for r in rows]
+        token = encode_cursor({"seq": seq, "sort": [_plain(rows[-1][c]) for c, _ in run.order], "page": size, "left": left}, policy.key)
+        if ahead is not None:
+            ahead[token, *turn] = run
+            while len(ahead) > RUNS:
+                ahead.pop(next(iter(ahead)))
+    out = [Row(*run.shown)(*(r[c] for c in run.shown)) for r in rows]
     seen = len(rows) + skip + more
     return Page(out, token, more, seq, None, seen * 4 >= policy.max_scan_rows * 3, seen)
 
 
+def _run(q: Query, source, caller: str | None, plain: bool) -> Run:
+    whole = replace(q, take=None, skip=None, order=() if not plain else q.order)
+    keys = [] if plain else list(source.primary_key(q.table)) if not q.joins else []
+    df = lower(whole if plain else replace(whole, columns=("*",)), source, caller)
+    scope = Scope({f.name: f for f in df.schema.fields})
+    order = [(scope.name(c), up) for c, up in q.order]
+    ties = [scope.name(k) for k in keys] or list(df.columns)
+    order += [(t, True) for t in ties if t not in [o for o, _ in order]]
+    shown = df.columns if q.columns in (("*",), ()) or plain else [scope.name(c) for c in q.columns] + [a for a, _ in q.computed]
+    return Run(df, order, shown)
+
+
 def list_with_total(q: Query, source, caller: str | None = None, **options) -> tuple[Page, int]:
     """A page, and how many rows its predicate and joins have."""
     total = lower(replace(q, columns=("*",), order=(), take=None, skip=None, computed=(), unique=False, aggregates=(count(),), groups=(), having_=None), source, caller).collect()

@@ -11,33 +11,37 @@ from pyspark.sql import SparkSession
 class LogFiles:
     def __init__(self, spark: SparkSession, folder: str):
         self.jvm, self.gateway, self.conf = spark._jvm, spark.sparkContext._gateway, spark._jsc.hadoopConfiguration()
-        self.path = self.jvm.org.apache.hadoop.fs.Path(folder)
+        # Each step of a dotted Java name is a call of its own, so names used again and again are looked up once.
+        self.new_path, self.all_bytes = self.jvm.org.apache.hadoop.fs.Path, self.jvm.org.apache.commons.io.IOUtils.toByteArray
+        self.path = self.new_path(folder)
         self.fs = self.path.getFileSystem(self.conf)
         self.fs.mkdirs(self.path)
+        self.local = self.fs.makeQualified(self.path).toUri().getPath() if self.fs.getScheme() == "file" else None
 
     def _at(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(self.path, name)
+        return self.new_path(self.path, name)
 
     def create(self, name: str, text: str) -> bool:
         """Writes a new file whole; False if the name is taken.
 
         Written aside under a hidden name, then moved by an operation that never overwrites. That move is the only commit
         point: a writer that dies before it leaves a file that nobody reads and that stands in nobody's way."""
-        if self.fs.exists(self._at(name)):
+        target = self._at(name)
+        if self.fs.exists(target):
             return False
         aside = self._at(f".{name}.{uuid.uuid4().hex}")
         out = self.fs.create(aside, False)
         out.write(bytearray(text.encode()))
         out.close()
         try:
-            return self._moved(aside, self._at(name), self.fs.getScheme() == "file")
+            return self._moved(aside, target, self.local is not None)
         finally:
             self.fs.delete(aside, False)
 
     def _moved(self, source, target, local: bool) -> bool:
         if local:  # a hard link fails if the name is there
             try:
-                os.link(*(self.fs.makeQualified(p).toUri().getPath() for p in (source, target)))
+                os.link(*(f"{self.local}/{p.getName()}" for p in (source, target)))
             except FileExistsError:
                 return False
             return True
@@ -61,6 +65,6 @@ class LogFiles:
     def read(self, name: str) -> str:
         stream = self.fs.open(self._at(name))
         try:
-            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+            return bytes(self.all_bytes(stream)).decode()
         finally:
             stream.close()

@@ -1,7 +1,7 @@
 """A change-log table store on Parquet: atomic commits over many tables, snapshots by commit, constraints, assertions.
 
 Layout: `root/log/{seq:020d}.json` names the files of a commit (that file's exclusive creation is the
-commit), `root/data/...` holds them: table columns by id, `_seq` and `_op`. Whole snapshots stand
+commit) and holds its KV rows if they are small, `root/data/...` holds the files: table columns by id, `_seq` and `_op`. Whole snapshots stand
 apart, in `root/checkpoint/...`, rewritten events in `root/compacted/...` and async indexes in
 `root/projection/...`. Readers see files of commits up to theirs only; files of lost attempts are
 never named. Every mutation is lowered to DataFrames, so a bulk upsert of any size takes the same
@@ -15,6 +15,7 @@ import hashlib
 import json
 import time
 import uuid
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,8 @@ class CommitResult:
 WRITE_CLASSES = ("economic", "standard", "volatile")
 #: An idempotency key is remembered for so many seconds and commits; the largest text, JSON or blob value.
 IDEMPOTENCY_SECONDS, IDEMPOTENCY_COMMITS, MAX_VALUE = 300, 100_000, 1 << 20
+#: A commit's KV rows of so many bytes in all stand in its log entry, more in a file.
+INLINE = 1 << 12
 
 
 @dataclass
@@ -76,7 +79,12 @@ class Engine:
         self.spark, self.root, self.checkpoint_every = spark, root.rstrip("/"), checkpoint_every
         self.log = LogFiles(spark, f"{self.root}/log")
         self.entries: list[dict] = []
-        self._catalogs: dict[int, dict] = {0: C.empty()}
+        #: The catalog at first and after each commit with DDL, and those commits.
+        self._catalogs: list[dict] = [C.empty()]
+        self._changed: list[int] = []
+        #: (commit, value, created_at) of the KV rows in log entries, by namespace and key; commits with KV rows in files.
+        self._kv: dict[tuple[str, bytes], list[tuple]] = {}
+        self._kv_filed: list[int] = []
         #: Called with each commit's log entry; and with (table, commit, caller, seconds or None) of each query.
         self.hooks: list = []
         self.query_hooks: list = []
@@ -91,6 +99,12 @@ class Engine:
             entry = json.loads(text)
             entry["hash"] = hashlib.sha256(text.encode()).hexdigest()
             self.entries.append(entry)
+            if entry["ddl"]:
+                self._changed.append(entry["seq"])
+            if entry["files"].get(KV_TABLE):
+                self._kv_filed.append(entry["seq"])
+            for ns, key, value, created in entry.get("kv", ()):
+                self._kv.setdefault((ns, bytes.fromhex(key)), []).append((entry["seq"], None if value is None else bytes.fromhex(value), created))
         return len(self.entries)
 
     def _new(self):
@@ -104,14 +118,13 @@ class Engine:
 
     def catalog(self, seq: int | None = None) -> dict:
         seq = len(self.entries) if seq is None else seq
-        if seq not in self._catalogs:
-            at = max(k for k in self._catalogs if k <= seq)
-            cat = self._catalogs[at]
-            for e in self.entries[at:seq]:
-                for op in e["ddl"]:
-                    cat, _ = C.apply_ddl(cat, op)
-            self._catalogs[seq] = cat
-        return self._catalogs[seq]
+        n = bisect_right(self._changed, seq)
+        while len(self._catalogs) <= n:
+            cat = self._catalogs[-1]
+            for op in self.entries[self._changed[len(self._catalogs) - 1] - 1]["ddl"]:
+                cat, _ = C.apply_ddl(cat, op)
+            self._catalogs.append(cat)
+        return self._catalogs[n]
 
     def verify(self) -> list[str]:
         """Broken links of the log's hash chain."""
@@ -131,8 +144,25 @@ class Engine:
         stored, names = self._stored(table, seq)
         files = self._files(table, seq, after)
         df = self.spark.read.schema(stored).parquet(*files) if files else self.spark.createDataFrame([], stored)
+        if table == KV_TABLE and (inline := [(ns, k, v, created, at, "D" if v is None else "U") for (ns, k), past in self._kv.items() for at, v, created in past if after < at <= seq]):
+            df = df.union(self.spark.createDataFrame(inline, stored)) if files else self.spark.createDataFrame(inline, stored)
         return df.select(*(F.col(a).alias(b) for a, b in names), "_seq", "_op")
 
+    def kv_at(self, ns: str, keys: list[bytes], seq: int) -> dict[bytes, tuple[bytes, int]]:
+        """(value, created_at) of those keys that are there at a commit. Files are read only for what log entries leave open."""
+        filed, out, need = self._kv_filed[: bisect_right(self._kv_filed, seq)], {}, []
+        for k in keys:
+            past = self._kv.get((ns, k), [])
+            i = bisect_right(past, seq, key=lambda x: x[0])
+            if filed and (not i or past[i - 1][0] < filed[-1]):
+                need.append(k)
+            elif i and past[i - 1][1] is not None:
+                out[k] = past[i - 1][1:]
+        if need:
+            for r in self.table_at(KV_TABLE, seq).where((F.col("ns") == ns) & F.col("key").isin(*need)).collect():
+                out[bytes(r["key"])] = (bytes(r["value"]), r["created_at"])
+        return out
+
     def _stored(self, table: str, seq: int):
         if table == KV_TABLE:
             return _KV, [(n, n) for n in ("ns", "key", "value", "created_at")]
@@ -334,8 +364,8 @@ class Engine:
 
     # --- upkeep -------------------------------------------------------------------------------------
     def _keep_up(self) -> None:
-        last = max([e["seq"] for e in self.entries if e["checkpoints"]], default=0)
-        if self.checkpoint_every and len(self.entries) - last >= self.checkpoint_every:
+        n = self.checkpoint_every
+        if n and len(self.entries) >= n and not any(e["checkpoints"] for e in self.entries[-n:]):
             try:
                 self.checkpoint()
             except Conflict:  # another writer was first, and will make one
@@ -357,7 +387,7 @@ class Engine:
         seq = self.refresh()
         made = {}
         for table in [*self.catalog(seq)["tables"], KV_TABLE]:
-            if table != KV_TABLE or self._files(KV_TABLE, seq):
+            if table != KV_TABLE or self._kv or self._kv_filed:
                 names = self._stored(table, seq)[1]
                 stamped = changelog.snapshot(self._versions(table, seq), self._key(table, seq))
                 rows = stamped.select(*(F.col(b).alias(a) for a, b in names), F.col("_version").alias("_seq"), F.lit("U").alias("_op"))
@@ -455,6 +485,7 @@ class View:
     def __init__(self, engine: Engine, seq: int, caller: str | None, project: str, scope: str):
         self.engine, self.seq, self.caller, self.project, self.scope = engine, seq, caller, project, scope
         self.materialized_seq: int | None = None
+        self.ahead: dict[tuple, object] = {}  # what pages may go on from, of plans.paging
         self.read: list[tuple] = []
 
     def name(self, table: str) -> str:
@@ -507,15 +538,18 @@ class View:
         """Spark SQL over snapshot tables, named {table} in the text."""
         return self.engine.spark.sql(text, **{t: self.table(t) for t in tables})
 
-    def kv(self, ns: str = "main/app") -> DataFrame:
-        """(key, value, created_at) of a namespace."""
+    def _may_read_kv(self, ns: str) -> None:
         if not C.allowed(self.engine.catalog(self.seq), self.caller, "kv_read", ns):
             raise PermissionDenied(f"{self.caller} may not read {ns}")
+
+    def kv(self, ns: str = "main/app") -> DataFrame:
+        """(key, value, created_at) of a namespace."""
+        self._may_read_kv(ns)
         return self.engine.table_at(KV_TABLE, self.seq).where(F.col("ns") == ns).drop("ns")
 
     def kv_get(self, key: bytes, ns: str = "main/app") -> bytes | None:
-        r = self.kv(ns).where(F.col("key") == F.lit(key)).first()
-        return None if r is None else bytes(r["value"])
+        self._may_read_kv(ns)
+        return self.engine.kv_at(ns, [key], self.seq).get(key, (None,))[0]
 
     def kv_scan(self, prefix: bytes, limit: int | None = None, after: bytes | None = None, ns: str = "main/app") -> DataFrame:
         return keyed.kv_prefix(self.kv(ns), prefix, limit, after)
@@ -821,8 +855,8 @@ class Work:
         if need:
             for k in need:
                 state[ns, k] = (None, None, 0, False)
-            for r in self.engine.table_at(KV_TABLE, self.base).where((F.col("ns") == ns) & F.col("key").isin(*need)).collect():
-                state[ns, bytes(r["key"])] = (bytes(r["value"]), r["created_at"], 0, False)
+            for k, (value, created) in self.engine.kv_at(ns, need, self.base).items():
+                state[ns, k] = (value, created, 0, False)
         return {k: state[ns, k][0] for k in keys}
 
     def _kv_write(self, ns: str, key: bytes, value: bytes | None) -> None:
@@ -993,11 +1027,12 @@ class Work:
             out = steps.select(*(F.col(c["name"]).alias(f"c{c['id']}") for c in t["columns"]), F.lit(seq).cast("long").alias("_seq"), F.col("_op"))
             files[table] = self.engine.write(out, table)
         kv = [(ns, k, v, created, seq, "D" if v is None else "U") for (ns, k), (v, created, _, dirty) in self._kv_state().items() if dirty]
-        if kv:
+        inline = sum(len(ns.encode()) + len(k) + len(v or b"") for ns, k, v, *_ in kv) <= INLINE
+        if kv and not inline:
             files[KV_TABLE] = self.engine.write(self.engine.spark.createDataFrame(kv, _KV).coalesce(1), KV_TABLE)
         if self.out:
             files[EVENTS] = self.engine.write(self.engine.spark.createDataFrame(self.out, _EVENT).coalesce(1), EVENTS)
-        return self.engine.publish({"ddl": self.ddl, "files": files, "write_class": write_class} | ({"idempotency": idempotency} if idempotency else {}))
+        return self.engine.publish({"ddl": self.ddl, "files": files, "write_class": write_class} | ({"kv": [[ns, k.hex(), None if v is None else v.hex(), created] for ns, k, v, created, *_ in kv]} if kv and inline else {}) | ({"idempotency": idempotency} if idempotency else {}))
 
 
 def _children_first(tables: dict) -> list[str]:
