@@ -140,3 +140,53 @@ def test_distributed_equals_single(spark):
     assert ob.open_orders(final).count() == sum(len(lv) for b in books.values() for s in b.levels.values() for lv in s.values())
     for b in books.values():
         assert b.best("bid") is None or b.best("ask") is None or b.best("bid") < b.best("ask")
+
+
+def test_a_spilled_book_does_what_a_book_in_memory_does(monkeypatch):
+    import random
+
+    monkeypatch.setattr(ob.SpilledBook, "CHUNK", 3)
+    for seed in range(12):
+        r = random.Random(seed)
+        rules = {"low": 90, "band": r.choice([None, 2]), "lot": r.choice([1, 2])}
+        plain, spilled = ob.Book(ob.Config(**rules)), ob.SpilledBook(ob.Config(**rules))
+        for i in range(400):
+            owner = r.choice(["o1", "o2", "0", "", None])
+            c = order(r.randrange(250), r.choice(["bid", "ask"]), r.randrange(88, 112), r.randrange(0, 9), owner=owner, client_id=r.choice([None, "", "c", f"c{i}"]), nonce=r.choice([None, None, i, i // 2]), tif=r.choice(["gtc", "gtc", "ioc", "fok"]), type=r.choice(["limit"] * 5 + ["market"]), post_only=r.random() < 0.1, stp=r.choice([None, "none", "cancel_resting", "cancel_aggressor", "cancel_both"]))
+            action = r.choice(["new"] * 12 + ["cancel", "replace", "reduce", "match", "mass_cancel", "halt"])
+            if action in ("cancel", "replace", "reduce", "match"):
+                known = r.choice(list(plain.orders.values())) if plain.orders and r.random() < 0.8 else None
+                c |= {"action": action, "target": known["order_id"] if known and r.random() < 0.9 else None} | ({"owner": known["owner"], "client_id": known["client_id"]} if known else {})
+            elif action == "mass_cancel":
+                c |= {"action": action, "owner": r.choice([None, owner]), "side": r.choice([None, "bid"]), "price_ticks": r.choice([None, 99])}
+            elif action == "halt":
+                c |= {"action": action, "qty": int(r.random() < 0.2)}
+            assert list(plain.run(c)) == list(spilled.run(c)), c
+            assert (plain.best("bid"), plain.best("ask")) == (spilled.best("bid"), spilled.best("ask"))
+        assert list(spilled.states()) == [{k: o[k] for k in ob.SpilledBook._COLUMNS} for o in plain.orders.values()]
+        spilled.close()
+
+
+def test_a_spilled_book_holds_no_orders_in_python():
+    import tracemalloc
+
+    def held(book):
+        tracemalloc.start()
+        for i in range(20_000):
+            list(book.run(order(i, "bid", 90 + i % 50, 5, nonce=i)))
+        size = tracemalloc.get_traced_memory()[0]
+        tracemalloc.stop()
+        return size
+
+    assert held(ob.Book()) > 5_000_000 and held(ob.SpilledBook()) < 500_000
+
+
+def test_instruments_that_share_a_task(spark):
+    rows = [(f"i{k % 5}" if k % 5 else None, k) for k in range(60)]
+    names = [x.split()[0] for x in ob.COMMANDS.split(", ")]
+    cmds = [{"instrument": i, "seq": k if k < 55 else None, **order((1 << 60) + k, "bid" if k % 2 else "ask", 100, 3)} for i, k in rows]
+    df = spark.createDataFrame([tuple(c[n] for n in names) for c in cmds], ob.COMMANDS).coalesce(1)
+    got = sorted((tuple(x) for x in ob.match_commands(df).where("seq is not null").collect()), key=repr)
+    books: dict = {}
+    want = sorted(((c["instrument"], c["seq"], *x) for c in cmds if c["seq"] is not None for x in books.setdefault(c["instrument"], ob.Book()).run(c)), key=repr)
+    assert got == want and ob.match_commands(df, final_orders=True).count() == 60
